@@ -66,7 +66,8 @@ def ilike_pattern(term: str) -> str:
     refuses such an escape, so it is dropped here; the escapes of ``%``, ``_``
     and the backslash itself stay.
     """
-    return re.sub(r"\\([^%_\\])", r"\1", f"%{term}%")
+    kept = ("\\%", "\\_", "\\\\")
+    return re.sub(r"\\.", lambda pair: pair[0] if pair[0] in kept else pair[0][1], f"%{term}%", flags=re.DOTALL)
 
 
 def ilike(column: Column, term: str) -> Column:

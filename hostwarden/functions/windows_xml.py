@@ -52,19 +52,19 @@ def severity_name(level: Column) -> Column:
     return F.coalesce(names[level], level)
 
 
-def event_data_entries(data: Column) -> Column:
-    """Ordered name/value pairs of the Data nodes.
-
-    Unnamed nodes are called ``Data<index>``, counted over all nodes. A name that
-    comes twice keeps its first place and its last value.
-    """
-    pairs = F.transform(
+def event_data_pairs(data: Column) -> Column:
+    """Name/value pairs of the Data nodes; unnamed ones are ``Data<index>``, counted over all nodes."""
+    return F.transform(
         data,
         lambda node, i: F.struct(
             F.coalesce(node["_Name"], F.concat(F.lit("Data"), i.cast("string"))).alias("key"),
             F.coalesce(node["_VALUE"], F.lit("")).alias("value"),
         ),
     )
+
+
+def settle_pairs(pairs: Column) -> Column:
+    """A name that comes twice keeps its first place and its last value. ``pairs`` must be a plain column."""
     names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     last_values = F.transform(
         names, lambda name: F.element_at(F.filter(pairs, lambda p: p["key"] == name), -1)

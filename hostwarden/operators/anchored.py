@@ -49,22 +49,13 @@ def anchored_groups(
 
     All rules share one shuffle of the narrow refs.
     """
-    session = findings.sparkSession
     schema = f"rule_pos int, members array<{KERNEL_REF}>"
     length = look_back_seconds(rules) * 1_000_000
     if not any(rule.enabled for rule in rules):
-        return from_kernel(session.createDataFrame([], schema))
-    if cells is None:
-        cells = CELLS_PER_SHUFFLE_PARTITION * int(session.conf.get("spark.sql.shuffle.partitions"))
+        return from_kernel(findings.sparkSession.createDataFrame([], schema))
     seen = refs(findings).withColumn("is_new", F.lit(True))
     if history is not None:
         seen = seen.unionByName(refs(history).withColumn("is_new", F.lit(False)))
-    needed = to_kernel(seen.filter(F.col("rule_id").isin(*required_rule_ids(rules))))
-    home = F.expr(f"(event_us - pmod(event_us, {length}L)) div {length}L")
-    sliced = needed.withColumn("slice", F.explode(F.array(home, home + 1))).withColumn(
-        "own", F.col("slice") == home
-    )
-    cell = F.pmod(F.xxhash64("source_host", "slice"), F.lit(cells))
 
     def kernel(table: pa.Table) -> pa.Table:
         found = [
@@ -72,24 +63,64 @@ def anchored_groups(
         ]
         return pa.concat_tables(found)
 
-    return from_kernel(sliced.groupBy(cell.alias("cell")).applyInArrow(kernel, schema))
+    return from_kernel(_by_cell(seen, rules, cells).applyInArrow(kernel, schema))
 
 
-def _matches_of_rule(table: pa.Table, rule_pos: int, rule: CorrelationRule, length: int) -> pa.Table:
-    required = rule.required_detection_rule_ids
-    keep = pc.is_in(table.column("rule_id"), value_set=pa.array(sorted(set(required))))
-    for field in rule.group_by:
+def candidate_counts(
+    findings: DataFrame, rules: Sequence[CorrelationRule], cells: int | None = None
+) -> DataFrame:
+    """How many findings each finding can look back on, itself included: ``finding_uuid, candidates``."""
+    length = look_back_seconds(rules) * 1_000_000
+    needed = sorted(required_rule_ids(rules))
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table, view = _ordered_view(table, [], needed, length)
+        own = np.flatnonzero(table.column("own").to_numpy())
+        late = view.late(own)
+        counts = view.event_end[own] - view.oldest[own] + 1
+        for place in np.flatnonzero(late):
+            counts[place] = len(view.arrived(own[place]))
+        return pa.table({"finding_uuid": table.column("finding_uuid").take(own), "candidates": counts})
+
+    seen = refs(findings).withColumn("is_new", F.lit(True))
+    return _by_cell(seen, rules, cells).applyInArrow(kernel, "finding_uuid string, candidates bigint")
+
+
+def _by_cell(seen: DataFrame, rules: Sequence[CorrelationRule], cells: int | None):
+    """Needed findings in their own slice and the next, grouped by cell."""
+    length = look_back_seconds(rules) * 1_000_000
+    if cells is None:
+        partitions = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = CELLS_PER_SHUFFLE_PARTITION * partitions
+    needed = to_kernel(seen.filter(F.col("rule_id").isin(*required_rule_ids(rules))))
+    home = F.expr(f"(event_us - pmod(event_us, {length}L)) div {length}L")
+    sliced = needed.withColumn("slice", F.explode(F.array(home, home + 1))).withColumn(
+        "own", F.col("slice") == home
+    )
+    cell = F.pmod(F.xxhash64("source_host", "slice"), F.lit(cells))
+    return sliced.withColumn("cell", cell).groupBy("cell")
+
+
+def _ordered_view(
+    table: pa.Table, group_by: list[str], names: list[str], length: int
+) -> tuple[pa.Table, "_View"]:
+    """Findings of the named rules in look-back order, those without a group left out."""
+    number = pc.index_in(table.column("rule_id"), value_set=pa.array(names))
+    keep = pc.is_valid(number)
+    for field in group_by:
         keep = pc.and_(keep, pc.is_valid(table.column(field)))
-    table = table.filter(keep)
-    group = codes(table, ["source_host", "slice", *rule.group_by])
-    # `required` sorted by id gives every row the place of its detection rule.
-    names = sorted(set(required))
-    number = pc.index_in(table.column("rule_id"), value_set=pa.array(names)).to_numpy()
+    table, number = table.filter(keep), number.filter(keep).to_numpy()
+    group = codes(table, ["source_host", "slice", *group_by])
     version = table.column("rule_version").to_numpy()
     arrival, times = table.column("arrival_seq").to_numpy(), table.column("event_us").to_numpy()
     order = np.lexsort((version, number, arrival, times, group))
-    table = table.take(order)
     view = _View(group[order], times[order], arrival[order], number[order], names, length)
+    return table.take(order), view
+
+
+def _matches_of_rule(table: pa.Table, rule_pos: int, rule: CorrelationRule, length: int) -> pa.Table:
+    names = sorted(set(rule.required_detection_rule_ids))
+    table, view = _ordered_view(table, list(rule.group_by), names, length)
     fresh = pc.and_(table.column("own"), table.column("is_new"))
     triggers = np.flatnonzero(fresh.to_numpy())
     if rule.mode == "temporal_count":
@@ -122,7 +153,11 @@ class _View:
             self.oldest = np.searchsorted(key, key - length, side="left")
             self.oldest = np.maximum(self.oldest, self.group_start)
 
-    def _late(self, triggers: np.ndarray) -> np.ndarray:
+        # Rows of one event share time and arrival; where the run of such rows ends.
+        changes = (group[1:] != group[:-1]) | (times[1:] != times[:-1]) | (arrival[1:] != arrival[:-1])
+        self.event_end = next_true(np.r_[changes, True][:count])[:-1]
+
+    def late(self, triggers: np.ndarray) -> np.ndarray:
         """Triggers that have a finding in their look-back which arrived after them."""
         late = np.zeros(len(triggers), dtype=bool)
         in_order = (self.arrival[1:] >= self.arrival[:-1]) | (self.group[1:] != self.group[:-1])
@@ -139,16 +174,16 @@ class _View:
             width *= 2
         return late
 
-    def _arrived(self, trigger: int) -> np.ndarray:
-        """Rows a trigger sees: its look-back, without what arrived later."""
-        rows = np.arange(self.oldest[trigger], trigger + 1)
+    def arrived(self, trigger: int) -> np.ndarray:
+        """Rows a trigger sees: its look-back up to its own event, without what arrived later."""
+        rows = np.arange(self.oldest[trigger], self.event_end[trigger] + 1)
         return rows[self.arrival[rows] <= self.arrival[trigger]]
 
     def windows(self, triggers: np.ndarray, rule: CorrelationRule) -> np.ndarray:
         """Rows of the greedy windows that end at a trigger."""
         step, window = rule.minimum_matches, rule.window_seconds * 1_000_000
         count = len(self.times)
-        late = self._late(triggers)
+        late = self.late(triggers)
         plain = triggers[~late]
         ends = np.zeros(count, dtype=bool)
         if step <= count:
@@ -171,7 +206,8 @@ class _View:
         hit = plain[place == plain]
         found = [hit[:, None] + np.arange(-step + 1, 1)[None, :]]
         for trigger in triggers[late]:
-            rows = self._arrived(trigger)
+            rows = self.arrived(trigger)
+            rows = rows[rows <= trigger]
             chosen = _last_window(self.times[rows], step, window)
             if chosen is not None:
                 found.append(rows[chosen][None, :])
@@ -183,16 +219,11 @@ class _View:
         numbers = [self.names.index(name) for name in required]
         if len(required) < rule.minimum_matches or not len(triggers):
             return np.empty((0, len(required)), dtype=np.int64)
-        count, late = len(self.times), self._late(triggers)
+        count, late = len(self.times), self.late(triggers)
         plain = triggers[~late]
         # Rows of one event share time and arrival and are stored together before any
         # of them triggers, so a trigger sees up to the last row of its event.
-        key_changes = (
-            (self.group[1:] != self.group[:-1])
-            | (self.times[1:] != self.times[:-1])
-            | (self.arrival[1:] != self.arrival[:-1])
-        )
-        event_end = next_true(np.r_[key_changes, True])[:-1]
+        event_end = self.event_end
         picks = np.empty((len(plain), len(required)), dtype=np.int64)
         valid = np.ones(len(plain), dtype=bool)
         for column, number in enumerate(numbers):
@@ -201,13 +232,13 @@ class _View:
             valid &= picks[:, column] <= event_end[plain]
         found = [picks[valid & (picks == plain[:, None]).any(axis=1)]]
         for trigger in triggers[late]:
-            seen = np.arange(self.oldest[trigger], event_end[trigger] + 1)
-            seen = seen[self.arrival[seen] <= self.arrival[trigger]]
+            seen = self.arrived(trigger)
             firsts = [seen[self.rule[seen] == number][:1] for number in numbers]
             row = np.concatenate(firsts)
             if len(row) == len(required) and trigger in row:
                 found.append(row[None, :])
-        chosen = np.concatenate(found).astype(np.int64)
+        # Two findings of one event can trigger the same selection.
+        chosen = np.unique(np.concatenate(found).astype(np.int64), axis=0)
         times = self.times[chosen]
         chosen = chosen[times.max(axis=1) - times.min(axis=1) <= rule.window_seconds * 1_000_000]
         by_time = np.argsort(self.times[chosen], axis=1, kind="stable")

@@ -21,11 +21,13 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
     ``batch_time`` stands in for a missing event time.
     """
     if "parsed" not in documents.columns:
-        documents = documents.withColumn("parsed", wx.parse_event_xml(F.col("xml")))
+        documents = _evaluated(documents, wx.parse_event_xml(F.col("xml")), "parsed")
     carried = [name for name in documents.columns if name not in ("xml", "parsed")]
     now = F.current_timestamp() if batch_time is None else batch_time
     system = F.col("parsed.System")
-    text = documents.select(
+    paired = _evaluated(documents, wx.event_data_pairs(F.col("parsed.EventData.Data")), "_pairs")
+    settled = _evaluated(paired, wx.settle_pairs(F.col("_pairs")), "_entries")
+    text = settled.select(
         *carried,
         F.coalesce(system["Provider"]["_Name"], F.lit("")).alias("provider"),
         wx.text_or(system["EventID"], "0").alias("_event_id"),
@@ -33,7 +35,7 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
         wx.text_or(system["Level"], "4").alias("level"),
         wx.text_or(system["Computer"], default_computer).alias("computer"),
         F.nullif(system["TimeCreated"]["_SystemTime"], F.lit("")).alias("_created"),
-        wx.event_data_entries(F.col("parsed.EventData.Data")).alias("_entries"),
+        "_entries",
         wx.user_data_parts(F.col("parsed.UserData")).alias("_user"),
         (F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull()).alias("_malformed"),
     )
@@ -83,11 +85,21 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
     )
 
 
+def _evaluated(rows: DataFrame, expression: Column, name: str) -> DataFrame:
+    """Add a column through a generator.
+
+    Filters and projections further up then read its value. Without this the
+    optimizer would copy the expression into each of them and parse the same
+    document many times.
+    """
+    return rows.select("*", F.explode(F.array(expression)).alias(name))
+
+
 def _bad_process_id(carried: list[str]) -> Column:
     """A process event whose ProcessId is no whole number cannot be stored."""
     if "source_type" not in carried:
         return F.lit(False)
-    given = F.expr("nullif(filter(_entries, e -> e.key = 'ProcessId')[0].value, '')")
+    given = F.expr("nullif(get(filter(_entries, e -> e.key = 'ProcessId'), 0).value, '')")
     is_process = (F.col("source_type") == "sysmon") & (F.col("event_id") == 1)
     unreadable = given.isNotNull() & given.try_cast("bigint").isNull()
     return F.coalesce(is_process & unreadable, F.lit(False))

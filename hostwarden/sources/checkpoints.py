@@ -45,14 +45,16 @@ def save_checkpoint_json(checkpoints: DataFrame) -> DataFrame:
 def after_checkpoint(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Events with a record id above their channel's checkpoint.
 
-    A channel without checkpoint, or with checkpoint 0, is read whole. The
-    checkpoint side has one row per channel of the registry and is broadcast.
+    A channel without checkpoint, or with checkpoint 0, is read whole. Documents
+    marked ``is_bad`` have no record id to compare and stay for the reject table.
+    The checkpoint side has one row per channel of the registry and is broadcast.
     """
+    unreadable = F.col("is_bad") if "is_bad" in events.columns else F.lit(False)
     last = F.coalesce("last_record_id", F.lit(0))
     checked = F.when(last < 0, F.raise_error(F.lit("last_record_id cannot be negative"))).otherwise(last)
     return (
         events.join(F.broadcast(checkpoints), CHANNEL_KEY, "left")
-        .filter((checked == 0) | (F.col("record_id") > checked))
+        .filter(unreadable | (checked == 0) | (F.col("record_id") > checked))
         .drop("last_record_id")
     )
 

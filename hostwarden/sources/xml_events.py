@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostwarden.functions.windows_xml import EVENT_XML_OPTIONS, EVENT_XML_SCHEMA
 
+# Folders named channel=<name> give the channel; without them it is null.
+_FILE_SCHEMA = EVENT_XML_SCHEMA + ", channel STRING"
+# Without multiLine a file is cut at the row tags: big files split over tasks, and a
+# file may be a plain sequence of events without a root element.
+_FILE_OPTIONS = {**EVENT_XML_OPTIONS, "multiLine": "false"}
+_PARSED = ("System", "EventData", "UserData", "_corrupt_record")
+
 
 def read_event_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text files with one document per line -> ``xml``."""
@@ -15,14 +22,14 @@ def read_event_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
     """XML files, one row per ``Event`` element, already in the parsed shape."""
     return _with_parsed(
-        spark.read.format("xml").options(**EVENT_XML_OPTIONS).schema(EVENT_XML_SCHEMA).load(path)
+        spark.read.format("xml").options(**_FILE_OPTIONS).schema(_FILE_SCHEMA).load(path)
     )
 
 
 def stream_event_xml(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The same scan as a stream; ``files_per_batch`` bounds one micro-batch."""
     reader = (
-        spark.readStream.format("xml").options(**EVENT_XML_OPTIONS).schema(EVENT_XML_SCHEMA)
+        spark.readStream.format("xml").options(**_FILE_OPTIONS).schema(_FILE_SCHEMA)
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -30,6 +37,5 @@ def stream_event_xml(spark: SparkSession, path: str, files_per_batch: int | None
 
 
 def _with_parsed(rows: DataFrame) -> DataFrame:
-    names = [field for field in rows.columns if field in ("System", "EventData", "UserData", "_corrupt_record")]
-    others = [F.col(name) for name in rows.columns if name not in names]
-    return rows.select(*others, F.struct(*names).alias("parsed"))
+    others = [F.col(name) for name in rows.columns if name not in _PARSED]
+    return rows.select(*others, F.struct(*_PARSED).alias("parsed"))
