@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -175,17 +176,13 @@ def rule_matches(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame
 
 
 def _of_rule(rules: Sequence, value: Callable, kind: str) -> Column:
-    """A per-rule constant looked up by ``rule_pos``."""
-    if not rules:
-        return F.lit(None).cast(kind)
-    constants = []
-    for rule in rules:
-        given = value(rule)
-        if isinstance(given, tuple):
-            constants.append(F.array(*[F.lit(part) for part in given]).cast(kind))
-        else:
-            constants.append(F.lit(given).cast(kind))
-    return F.array(*constants)[F.col("rule_pos")]
+    """A per-rule constant looked up by ``rule_pos``.
+
+    All constants are one JSON literal that the optimizer folds, so a large rule
+    set does not blow up the plan.
+    """
+    constants = json.dumps([value(rule) for rule in rules], ensure_ascii=False)
+    return F.get(F.from_json(F.lit(constants), f"array<{kind}>"), F.col("rule_pos"))
 
 
 def finding_keys(

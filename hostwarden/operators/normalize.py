@@ -25,9 +25,8 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
     carried = [name for name in documents.columns if name not in ("xml", "parsed")]
     now = F.current_timestamp() if batch_time is None else batch_time
     system = F.col("parsed.System")
-    paired = _evaluated(documents, wx.event_data_pairs(F.col("parsed.EventData.Data")), "_pairs")
-    settled = _evaluated(paired, wx.settle_pairs(F.col("_pairs")), "_entries")
-    text = settled.select(
+    # Flat columns first: only these pass the generators below.
+    flat = documents.select(
         *carried,
         F.coalesce(system["Provider"]["_Name"], F.lit("")).alias("provider"),
         wx.text_or(system["EventID"], "0").alias("_event_id"),
@@ -35,10 +34,14 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
         wx.text_or(system["Level"], "4").alias("level"),
         wx.text_or(system["Computer"], default_computer).alias("computer"),
         F.nullif(system["TimeCreated"]["_SystemTime"], F.lit("")).alias("_created"),
-        "_entries",
-        wx.user_data_parts(F.col("parsed.UserData")).alias("_user"),
+        F.col("parsed.EventData.Data").alias("_data"),
+        F.col("parsed.UserData").alias("_markup"),
         (F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull()).alias("_malformed"),
     )
+    paired = _evaluated(flat, wx.event_data_pairs(F.col("_data")), "_pairs")
+    text = _evaluated(paired, wx.settle_pairs(F.col("_pairs")), "_entries").withColumn(
+        "_user", wx.user_data_parts(F.col("_markup"))
+    )
     typed = text.select(
         *carried,
         "provider",

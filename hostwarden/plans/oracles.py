@@ -818,7 +818,7 @@ ORACLES["b28d_recent_alerts_short"] = on_chain(
 # ---------------------------------------------------------------- data quality
 
 _DOUBTFUL = (
-    "(SELECT * REPLACE (CASE WHEN event_record_id % 7 = 0 THEN 'Severe' ELSE severity END AS severity, "
+    "(SELECT * REPLACE (CASE WHEN event_record_id % 5 = 0 THEN 'Severe' ELSE severity END AS severity, "
     "CASE WHEN event_record_id % 11 = 0 THEN 0 ELSE rule_version END AS rule_version, "
     "CASE WHEN event_record_id % 13 <> 0 THEN title END AS title, "
     "CASE WHEN event_record_id % 17 = 0 THEN 'copy' ELSE finding_uuid END AS finding_uuid) FROM f)"
@@ -862,17 +862,17 @@ ORACLES["v08_read_contract"] = on_chain("SELECT alert_uuid, risk_score, risk_lev
 # ---------------------------------------------------------------- streaming and extension points
 
 _DOCUMENT_CHAIN = f"{telemetry(from_xml=True)}, {FINDINGS}, {chain(REPEATED)}"
-_QUARTER = "record_id * 4 // (SELECT max(record_id) + 1 FROM tel)"
+_THIRD = "record_id * 3 // (SELECT max(record_id) + 1 FROM tel)"
 _STREAM_MATCH = "correlation_key, rule_id, source_host, first_event_time, last_event_time"
 ORACLES["t01_micro_batches"] = on_documents(
-    f"SELECT {_QUARTER} AS batch_id, count(*) AS events FROM tel GROUP BY ALL"
+    f"SELECT {_THIRD} AS batch_id, count(*) AS events FROM tel GROUP BY ALL"
 )
 ORACLES["t02_resumed_stream"] = over(
     _DOCUMENT_CHAIN, "SELECT finding_uuid, rule_id, source_host, event_record_id, event_time FROM f"
 )
 ORACLES["t03_stream_matches"] = over(_DOCUMENT_CHAIN, f"SELECT {_STREAM_MATCH} FROM matches")
 _LATE = (
-    "(CASE event_record_id * 4 // (SELECT max(record_id) + 1 FROM tel) WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END) "
+    "(CASE event_record_id * 3 // (SELECT max(record_id) + 1 FROM tel) WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) "
     "* 1000000000000 + event_record_id"
 )
 ORACLES["t04_late_files"] = over(
