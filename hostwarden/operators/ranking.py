@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostwarden.session import shared_dir
@@ -19,12 +20,15 @@ def global_positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     counts table has one row per partition, which makes its broadcast safe.
     """
     shared_dir(rows.sparkSession)
+    # The range bounds are sampled from the rows, so they are needed twice.
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
     placed = (
-        rows.repartitionByRange(*order)
+        kept.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
         .checkpoint()
     )
+    kept.unpersist()
     partition = F.shiftright("_place", _PLACE_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -33,9 +37,9 @@ def global_positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     )
     inside = F.col("_place") - F.shiftleft(F.col("_part"), _PLACE_BITS)
-    kept = [c for c in rows.columns if c != name]
+    others = [c for c in rows.columns if c != name]
     return (
         placed.withColumn("_part", partition)
         .join(F.broadcast(starts), "_part")
-        .select(*kept, (F.col("_start") + inside).alias(name))
+        .select(*others, (F.col("_start") + inside).alias(name))
     )

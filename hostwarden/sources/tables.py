@@ -36,9 +36,10 @@ class TableStore:
         if day is None:
             rows.write.mode("overwrite").parquet(target)
             return
-        # Rows of one day come from few tasks, so that days do not shatter into tiny files.
+        # One day goes to few tasks, so that days do not shatter into tiny files; the
+        # rebalance splits a day that is too big for one.
         dated = rows.withColumn("event_date", F.to_date(day))
-        dated.write.mode("overwrite").partitionBy("event_date").parquet(target)
+        dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(target)
 
     def exists(self, table: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
