@@ -8,8 +8,8 @@ full history.
 
 The look-back bounds what a finding can see. So the history is cut into slices
 of that length, every finding goes to its own slice and, as context, to the next
-one, and the (host, slice) pairs are spread over many cells. One cell is one
-vectorised pass; a busy host fills as many cells as it has slices.
+one, and the slices of all rules and groups are spread over many cells. One cell
+is one vectorised pass; a busy host fills as many cells as it has slices.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from hostwarden.operators.correlate import (
     refs,
     required_rule_ids,
 )
+from hostwarden.operators.hot_slices import hot_groups, hot_slices
 from hostwarden.operators.temporal import (
     KERNEL_REF,
     codes,
@@ -37,6 +38,8 @@ from hostwarden.operators.temporal import (
 )
 
 CELLS_PER_SHUFFLE_PARTITION = 4
+# Findings of one slice of one group that one cell may still take.
+HOT_ROWS = 2_000_000
 
 
 def anchored_groups(
@@ -44,10 +47,13 @@ def anchored_groups(
     rules: Sequence[CorrelationRule],
     history: DataFrame | None = None,
     cells: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """New findings, and stored ones as ``history`` -> ``(rule_pos, members)``.
 
-    All rules share one shuffle of the narrow refs.
+    All rules share one shuffle of the narrow refs. A slice of a group with more
+    than ``hot_rows`` findings is too big for one cell; where its result has a
+    closed form it is computed over range partitions instead.
     """
     schema = f"rule_pos int, members array<{KERNEL_REF}>"
     length = look_back_seconds(rules) * 1_000_000
@@ -56,14 +62,44 @@ def anchored_groups(
     seen = refs(findings).withColumn("is_new", F.lit(True))
     if history is not None:
         seen = seen.unionByName(refs(history).withColumn("is_new", F.lit(False)))
+    sliced = _sliced(_per_rule(seen, rules), length)
 
     def kernel(table: pa.Table) -> pa.Table:
+        positions = table.column("rule_pos")
         found = [
-            _matches_of_rule(table, pos, rule, length) for pos, rule in enumerate(rules) if rule.enabled
+            _matches_of_rule(table.filter(pc.equal(positions, pos)), pos, rule, length)
+            for pos, rule in enumerate(rules)
+            if rule.enabled
         ]
         return pa.concat_tables(found)
 
-    return from_kernel(_by_cell(seen, rules, cells).applyInArrow(kernel, schema))
+    key = ["rule_pos", "source_host", "group_key", "slice"]
+    hot = hot_slices(sliced, rules, length, key, hot_rows)
+    if hot is None:
+        return from_kernel(_by_cell(sliced, key, cells).applyInArrow(kernel, schema))
+    usual = sliced.join(F.broadcast(hot), key, "left_anti")
+    busy = sliced.join(F.broadcast(hot), key, "left_semi")
+    regular = _by_cell(usual, key, cells).applyInArrow(kernel, schema)
+    return from_kernel(regular.unionByName(hot_groups(busy, rules, length, key)))
+
+
+def _per_rule(seen: DataFrame, rules: Sequence[CorrelationRule]) -> DataFrame:
+    """One row per finding and enabled rule that needs it, with the rule's grouping values."""
+    rows, group_key = [], F.lit(None).cast("string")
+    for pos, rule in enumerate(rules):
+        if rule.enabled:
+            needed = F.col("rule_id").isin(*rule.required_detection_rule_ids)
+            for field in rule.group_by:
+                needed &= F.col(field).isNotNull()
+            rows.append(F.when(needed, F.lit(pos)))
+            values = F.to_json(F.array(*[F.col(field).cast("string") for field in rule.group_by]))
+            group_key = F.when(F.col("rule_pos") == pos, values).otherwise(group_key)
+    known = to_kernel(seen.filter(F.col("rule_id").isin(*required_rule_ids(rules))))
+    return (
+        known.withColumn("rule_pos", F.explode(F.array(*rows)))
+        .filter(F.col("rule_pos").isNotNull())
+        .withColumn("group_key", group_key)
+    )
 
 
 def candidate_counts(
@@ -82,23 +118,24 @@ def candidate_counts(
             counts[place] = len(view.arrived(own[place]))
         return pa.table({"finding_uuid": table.column("finding_uuid").take(own), "candidates": counts})
 
-    seen = refs(findings).withColumn("is_new", F.lit(True))
-    return _by_cell(seen, rules, cells).applyInArrow(kernel, "finding_uuid string, candidates bigint")
+    known = to_kernel(refs(findings).filter(F.col("rule_id").isin(*needed)))
+    grouped = _by_cell(_sliced(known, length), ["source_host", "slice"], cells)
+    return grouped.applyInArrow(kernel, "finding_uuid string, candidates bigint")
 
 
-def _by_cell(seen: DataFrame, rules: Sequence[CorrelationRule], cells: int | None):
-    """Needed findings in their own slice and the next, grouped by cell."""
-    length = look_back_seconds(rules) * 1_000_000
-    if cells is None:
-        partitions = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cells = CELLS_PER_SHUFFLE_PARTITION * partitions
-    needed = to_kernel(seen.filter(F.col("rule_id").isin(*required_rule_ids(rules))))
+def _sliced(rows: DataFrame, length: int) -> DataFrame:
+    """Every finding in its own slice of the history and, as context, in the next one."""
     home = F.expr(f"(event_us - pmod(event_us, {length}L)) div {length}L")
-    sliced = needed.withColumn("slice", F.explode(F.array(home, home + 1))).withColumn(
+    return rows.withColumn("slice", F.explode(F.array(home, home + 1))).withColumn(
         "own", F.col("slice") == home
     )
-    cell = F.pmod(F.xxhash64("source_host", "slice"), F.lit(cells))
-    return sliced.withColumn("cell", cell).groupBy("cell")
+
+
+def _by_cell(rows: DataFrame, key: list[str], cells: int | None):
+    if cells is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = CELLS_PER_SHUFFLE_PARTITION * partitions
+    return rows.withColumn("cell", F.pmod(F.xxhash64(*key), F.lit(cells))).groupBy("cell")
 
 
 def _ordered_view(

@@ -21,7 +21,7 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
     ``batch_time`` stands in for a missing event time.
     """
     if "parsed" not in documents.columns:
-        documents = _evaluated(documents, wx.parse_event_xml(F.col("xml")), "parsed")
+        documents = _evaluated(_spread(documents), wx.parse_event_xml(F.col("xml")), "parsed")
     carried = [name for name in documents.columns if name not in ("xml", "parsed")]
     now = F.current_timestamp() if batch_time is None else batch_time
     system = F.col("parsed.System")
@@ -88,6 +88,17 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
     )
 
 
+def _spread(documents: DataFrame) -> DataFrame:
+    """Parsing is the costly step: few big input splits are spread over all cores before it.
+
+    On a cluster the input has more splits than cores and stays where it is.
+    """
+    if documents.isStreaming:
+        return documents
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents if documents.rdd.getNumPartitions() >= cores else documents.repartition(cores)
+
+
 def _evaluated(rows: DataFrame, expression: Column, name: str) -> DataFrame:
     """Add a column through a generator.
 

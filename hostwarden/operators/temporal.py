@@ -23,7 +23,7 @@ from hostwarden.operators.correlate import (
     refs,
     without_copies,
 )
-from hostwarden.operators.ranking import global_positions
+from hostwarden.operators.ranking import global_positions, in_chunks
 
 CHUNK_ROWS = 100_000
 
@@ -106,7 +106,6 @@ def full_history_groups(
 ) -> DataFrame:
     """Greedy, non-overlapping windows over all findings -> ``(rule_pos, members)``."""
     step = rule.minimum_matches
-    size = max(chunk_rows, step)
     fields = list(rule.group_by)
     eligible = to_kernel(
         without_copies(of_rules(refs(findings), rule.required_detection_rule_ids, fields))
@@ -114,10 +113,7 @@ def full_history_groups(
     ties = ["event_us", "arrival_seq", "rule_id", "rule_version", "finding_uuid"]
     numbered = global_positions(eligible, list(dict.fromkeys([*fields, *ties])), "position")
 
-    home = F.expr(f"position div {size}")
-    is_tail = F.col("position") % size >= size - (step - 1)
-    places = F.when(is_tail, F.array(home, home + 1)).otherwise(F.array(home))
-    chunked = numbered.withColumn("chunk", F.explode(places)).withColumn("own", F.col("chunk") == home)
+    chunked = in_chunks(numbered, chunk_rows, step - 1)
 
     def summarise(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostwarden.operators.anchored import anchored_groups, candidate_counts
+from hostwarden.operators import anchored as anchored_module, hot_slices
 from hostwarden.operators.correlate import match_rows, same_event_groups, validate_correlation_rules
 from hostwarden.operators.correlation_rules import BUILTIN_CORRELATION_RULES, ENCODED_EXECUTION, REPEATED_ENCODED
 from hostwarden.operators.temporal import full_history_groups
@@ -197,6 +198,21 @@ def test_anchored_equals_simulation(spark, name, shuffled):
     assert expected and anchored(spark, rows, RULE_SETS[name]) == expected
 
 
+@pytest.mark.parametrize("name", ["window_is_look_back", "three"])
+@pytest.mark.parametrize("shuffled", [0.0, 0.02])
+def test_hot_slices_equal_simulation(spark, monkeypatch, name, shuffled):
+    """Every slice with more than five findings counts as hot; some have late arrivals."""
+    counted = []
+    monkeypatch.setattr(hot_slices, "CHUNK_ROWS", 13)
+    monkeypatch.setattr(anchored_module, "hot_groups", lambda *a: counted.append(1) or hot_slices.hot_groups(*a))
+    rows, rules = random_rows(21, shuffled=shuffled), RULE_SETS[name]
+    middle = len({r[2] for r in rows}) // 3
+    known, new = [r for r in rows if r[2] < middle], [r for r in rows if r[2] >= middle]
+    groups = anchored_groups(frame(spark, new), rules, frame(spark, known), 3, hot_rows=5)
+    found = [(row.rule_pos, tuple(m.finding_uuid for m in row.members)) for row in groups.collect()]
+    assert counted and len(found) == len(set(found)) and set(found) == live(new, rules, known)
+
+
 def test_anchored_with_history_equals_simulation(spark):
     rules = RULE_SETS["short_windows"]
     rows = random_rows(5, shuffled=0.2)
