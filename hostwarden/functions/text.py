@@ -18,7 +18,7 @@ def _beyond_lowercase() -> dict[str, str]:
     Built from the Unicode rules of the running Python rather than written out.
     """
     table = {}
-    for code in range(128, 0x110000):
+    for code in range(128, 0x20000):  # no letter with case lies beyond the first two planes
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
