@@ -405,7 +405,7 @@ ORACLES["n08_event_time"] = on_documents(
     "AS time_created FROM tel"
 )
 ORACLES["n09_strict_numbers"] = on_documents(
-    "SELECT arrival_seq, CASE WHEN arrival_seq % 5 <> 0 THEN record_id END AS record_id, arrival_seq % 5 = 0 AS is_bad FROM tel"
+    "SELECT arrival_seq, CASE WHEN arrival_seq % 5 <> 0 THEN CAST(record_id AS VARCHAR) END AS record_id, arrival_seq % 5 = 0 AS is_bad FROM tel"
 )
 ORACLES["n10_raw_json"] = on_telemetry(f"SELECT record_id, {RAW_JSON} AS raw_data FROM tel")
 ORACLES["n11_process_events"] = over(f"{telemetry(from_xml=True)}, {PROCESSES}", "SELECT * FROM processes")
@@ -417,7 +417,7 @@ ORACLES["n13_host_fallback"] = on_telemetry(
     "WHERE source_type = 'sysmon' AND event_id = 1 GROUP BY ALL"
 )
 ORACLES["n14_malformed_documents"] = on_documents(
-    "SELECT arrival_seq, source_type, channel, CASE WHEN record_id % 23 = 0 THEN 0 END AS event_id, "
+    "SELECT arrival_seq, source_type, channel, CASE WHEN record_id % 23 = 0 THEN '0' END AS event_id, "
     f"CASE WHEN record_id % 23 = 0 THEN 0 ELSE record_id END AS record_id FROM tel WHERE {_BAD}"
 )
 ORACLES["n15_json_values"] = on_chain("SELECT alert_uuid, evidence FROM alerts")
@@ -438,7 +438,7 @@ ORACLES["d02_eligibility"] = on_telemetry(
     f"SELECT source_type, count(*) FILTER ({_ELIGIBLE}) AS tp_win_sysmon_0001, "
     "count(*) FILTER (source_type = 'sysmon' AND event_id = 3) AS t_0003, "
     "count(*) FILTER (source_type = 'windows_system' AND event_id = 7036) AS t_7036, "
-    "0 AS t_off, 0 AS t_none FROM tel GROUP BY source_type"
+    "CAST(0 AS BIGINT) AS t_off, CAST(0 AS BIGINT) AS t_none FROM tel GROUP BY source_type"
 )
 ORACLES["d03_field_paths"] = on_documents(
     "SELECT record_id, CASE WHEN source_type <> 'windows_security' THEN image END AS image, "
@@ -477,7 +477,7 @@ ORACLES["d11_conjunction_evidence"] = records(
 ORACLES["d12_finding_projection"] = on_findings(
     "SELECT " + uuid("finding", "concat_ws('|', rule_id, rule_version, source_host, source_type, event_id, "
     "CASE WHEN event_record_id IS NULL THEN 'None|' || arrival_seq ELSE CAST(event_record_id AS VARCHAR) END)")
-    + " AS finding_uuid, rule_id, source_host, event_record_id, event_time, evaluated_at, title FROM ("
+    + " AS finding_uuid, rule_id, source_host, CAST(event_record_id AS VARCHAR) AS event_record_id, event_time, evaluated_at, title FROM ("
     "SELECT * REPLACE (CASE WHEN arrival_seq % 2 = 0 THEN source_host ELSE '' END AS source_host, "
     "CASE WHEN arrival_seq % 9 <> 0 THEN event_record_id END AS event_record_id) FROM f)"
 )
@@ -494,7 +494,7 @@ ORACLES["d16_insert_if_new"] = on_findings(
     "WHERE rule_id <> 'TP-WIN-SYSMON-0001' GROUP BY rule_id, source_host, event_record_id"
 )
 ORACLES["d16b_first_arrivals"] = on_findings(
-    f"SELECT rule_id, source_host, event_record_id, min(arrival_seq) AS arrival_seq FROM {_TWICE} "
+    f"SELECT rule_id, source_host, CAST(event_record_id AS VARCHAR) AS event_record_id, min(arrival_seq) AS arrival_seq FROM {_TWICE} "
     "WHERE event_record_id % 9 <> 0 GROUP BY rule_id, source_host, event_record_id UNION ALL "
     f"SELECT rule_id, source_host, NULL, arrival_seq FROM {_TWICE} WHERE event_record_id % 9 = 0"
 )

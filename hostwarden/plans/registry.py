@@ -12,8 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hostwarden.functions import windows_xml as wx
-from hostwarden.functions.text import ilike, sha256_of, time_text
+from hostwarden.functions.text import sha256_of, time_text
 from hostwarden.operators import normalize as nz, quality
 from hostwarden.operators.alerts import AlertPolicy, raise_alerts
 from hostwarden.operators.anchored import anchored_groups, candidate_counts
@@ -22,11 +21,9 @@ from hostwarden.operators.correlate import (
     correlation_key,
     event_key,
     insert_new_matches,
-    look_back_seconds,
     match_rows,
     of_rules,
     refs,
-    required_rule_ids,
     same_event_groups,
     without_copies,
 )
@@ -69,7 +66,6 @@ from hostwarden.plans import intelligence_queries as iq, telemetry_queries as tq
 from hostwarden.plans.chain import Settings, correlate_history, correlate_new, process
 from hostwarden.session import scratch_path
 from hostwarden.sources import checkpoints as cp, telemetry as tel
-from hostwarden.sources.registry import SOURCES, source_table
 from hostwarden.sources.tables import TableStore
 from hostwarden.sources.xml_events import read_event_xml
 from hostwarden.streaming.ingest import Ingestion
@@ -93,6 +89,11 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.select(*[form(field) for field in rows.schema.fields])
 
 
+def _text_of(column: str) -> Column:
+    """A number that may be missing, as text."""
+    return F.col(column).cast("string").alias(column)
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Register under the function's name; runs in UTC."""
 
@@ -371,7 +372,7 @@ def n08_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n09_strict_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("arrival_seq") % 5 == 0, F.regexp_replace("xml", r"(<EventRecordID>)\d+", "$1x1"))
     documents = documents_of(spark, sf_dir).withColumn("xml", F.coalesce(bad, F.col("xml")))
-    return nz.normalize(documents, DEFAULT_HOST).select("arrival_seq", "record_id", "is_bad")
+    return nz.normalize(documents, DEFAULT_HOST).select("arrival_seq", _text_of("record_id"), "is_bad")
 
 
 @query
@@ -404,7 +405,7 @@ def n13_host_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def n14_malformed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = nz.normalize(damaged_documents_of(spark, sf_dir), DEFAULT_HOST)
-    return nz.rejected(events).select("arrival_seq", "source_type", "channel", "event_id", "record_id")
+    return nz.rejected(events).select("arrival_seq", "source_type", "channel", _text_of("event_id"), "record_id")
 
 
 @query
@@ -532,7 +533,7 @@ def d12_finding_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("arrival_seq") % 9 == 0, "none").otherwise(F.col("record_id").cast("string")),
     ).withColumn("computer", F.when(F.col("arrival_seq") % 2 == 0, F.col("computer")))
     return detect(odd, BUILTIN_DETECTION_RULES, tel.commit_time).select(
-        "finding_uuid", "rule_id", "source_host", "event_record_id", "event_time", "evaluated_at", "title",
+        "finding_uuid", "rule_id", "source_host", _text_of("event_record_id"), "event_time", "evaluated_at", "title",
     )
 
 
@@ -566,7 +567,7 @@ def d16b_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_findings_of(spark, sf_dir).withColumn(
         "event_record_id", F.when(F.col("event_record_id") % 9 != 0, F.col("event_record_id"))
     )
-    return first_arrivals(rows).select("rule_id", "source_host", "event_record_id", "arrival_seq")
+    return first_arrivals(rows).select("rule_id", "source_host", _text_of("event_record_id"), "arrival_seq")
 
 
 @query
