@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.texts import byte_lists, small_batches
 
-#: Bound of the broadcast: entries and bytes of an entry's word (32 MB at most).
-FREQUENT = 500_000
+#: Bound of the broadcast: entries and bytes of an entry's word (16 MB at most, with values).
+FREQUENT = 200_000
 WORD_BYTES = 64
 #: A task's counter is handed on when it has so many words.
-LOCAL_WORDS = 400_000
+LOCAL_WORDS = 200_000
 
 Words = Callable[[bytes], list[bytes]]
 
@@ -58,10 +58,11 @@ def word_counts(documents: DataFrame, words: Words, counted: str | None = None)
     return counts.groupBy("word").agg(F.sum("freq").alias("freq"), F.sum("counted").alias("counted"))
 
 
-def frequent_part(table: DataFrame, values: Sequence[str]) -> dict[bytes, tuple[float, ...]]:
-    """At most FREQUENT of the most frequent words of ``table`` with their values.
+def frequent_part(table: DataFrame, values: Sequence[str]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """At most FREQUENT of the most frequent words of ``table``: word to place, and the values by place.
 
-    The least frequency comes from a histogram over powers of 2**(1/8), a few hundred rows.
+    The last place holds zeros, for words that are not there. The least frequency
+    comes from a histogram over powers of 2**(1/8), a few hundred rows.
     """
     short = table.filter(F.length("word") <= WORD_BYTES)
     level = F.floor(F.log2("freq") * 8).cast("int")
@@ -69,9 +70,10 @@ def frequent_part(table: DataFrame, values: Sequence[str]) -> dict[bytes, tuple[
     covered = np.cumsum([n for _, n in histogram])
     levels = [k for (k, _), n in zip(histogram, covered, strict=True) if n <= FREQUENT]
     if not levels:
-        return {}
+        return {}, [np.zeros(1) for _ in values]
     rows = short.filter(level >= min(levels)).select("word", *values).toArrow()
-    return dict(zip(rows.column(0).to_pylist(), zip(*(rows.column(1 + i).to_pylist() for i in range(len(values))), strict=True), strict=True))
+    columns = [rows.column(1 + i).to_numpy() for i in range(len(values))]
+    return dict(zip(rows.column(0).to_pylist(), range(rows.num_rows), strict=True)), [np.append(c, c.dtype.type(0)) for c in columns]
 
 
 def sums_by_document(documents: DataFrame, table: DataFrame, words: Words, values: Sequence[str]) -> DataFrame:
@@ -85,28 +87,20 @@ def sums_by_document(documents: DataFrame, table: DataFrame, words: Words, value
     carried = [c for c in documents.columns if c != "text"]
     known = spark.sparkContext.broadcast(frequent_part(table, values))
     kinds = [dict(table.dtypes)[v] for v in values]
-    integral = [k == "bigint" for k in kinds]
-    count = len(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = known.value
-        nothing = (0,) * count
+        look, worth = known.value
         for batch in small_batches(batches, 1):
             sizes, lengths, sums, tails, freqs = [], [], [], [], []
             for text in byte_lists(batch.column(1)):
                 found = words(text) if text else []
                 times = Counter(found)
-                tail = [w for w in times if w not in look]
-                total = [0] * count
-                if times:
-                    hit = [look.get(w, nothing) for w in times]
-                    weight = np.fromiter(times.values(), np.int64, len(times))
-                    for i in range(count):
-                        column = np.array([h[i] for h in hit], dtype=np.int64 if integral[i] else np.float64)
-                        total[i] = (column * weight).sum().item()
+                places = np.fromiter((look.get(w, -1) for w in times), np.int64, len(times))
+                weight = np.fromiter(times.values(), np.int64, len(times))
+                tail = [w for w, place in zip(times, places.tolist(), strict=True) if place < 0]
                 sizes.append(len(text) if text else 0)
                 lengths.append(len(found))
-                sums.append(total)
+                sums.append([(v[places] * weight).sum().item() for v in worth])
                 tails.append(tail)
                 freqs.append([times[w] for w in tail])
             rows = batch.num_rows
@@ -120,9 +114,9 @@ def sums_by_document(documents: DataFrame, table: DataFrame, words: Words, value
             out.append(pa.array(own + more, pa.binary()))
             out.append(pa.array([0] * rows + [n for f in freqs for n in f], pa.int64()))
             out += [pa.array(np.concatenate([np.array(v, dtype=np.int64), blank])) for v in (sizes, lengths)]
-            for i in range(count):
+            for i in range(len(kinds)):
                 mine = [s[i] for s in sums] + [0] * len(more)
-                out.append(pa.array(mine, pa.int64() if integral[i] else pa.float64()))
+                out.append(pa.array(mine, pa.int64() if kinds[i] == "bigint" else pa.float64()))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), "text", *carried)

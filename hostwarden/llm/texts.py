@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hostwarden.session import scratch_path
 
 #: Python's own batches are cut to about this many bytes of text, so that a task's memory does not follow its input.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def byte_lists(column: pa.Array) -> list[bytes | None]:
