@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostwarden.llm import chat_windows, language_id, packing, quality_rules, token_counts
+from hostwarden.llm import chat_windows, language_id, packing, quality_rules, simhash, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
