@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.texts import byte_lists, small_batches
-from hostwarden.llm.tokenizer import IdCache, default_path
+from hostwarden.llm.tokenizer import default_path, id_cache
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, start BIGINT, length BIGINT, doc_tokens BIGINT, bucket INT, ids BINARY"
@@ -47,7 +47,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, limit: int = L
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = IdCache(path)
+        cache = id_cache(path)
         for batch in small_batches(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_lists(batch.column(1)), strict=True):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Cached pre-tokens of one worker; the cache starts anew when full, results do not depend on it.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 #: Longer pre-tokens are encoded each time, so that the cache stays small.
 CACHE_BYTES = 64
 
@@ -38,10 +41,13 @@ def pre_tokens(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def encode(tokenizer, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of pre-tokens, without begin, end or added special tokens."""
-    texts = [p.decode("utf-8", "replace") for p in pieces]
-    return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+#: ASCII punctuation after an ASCII letter or digit and before white space is a pre-token of its own.
+_STOP = re.compile(rb"(?<=[a-z0-9])[,.](?=[ \n])")
+#: Words of lower-case ASCII letters pass normaliser and split pattern unchanged.
+_PLAIN = re.compile(rb"[a-z]+").fullmatch
+#: Special strings are matched before lower-casing.
+_SPECIAL = b"<|"
+_JOINED = 400
 
 
 class IdCache:
@@ -50,18 +56,57 @@ class IdCache:
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         self.ids: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+
+    def encode(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Every piece with its ids."""
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for piece in pieces:
+            if _PLAIN(piece):
+                yield piece, np.array([token.id for token in tokenize(piece.decode())], dtype="<u4").tobytes()
+            else:
+                rest.append(piece)
+        texts = [p.decode("utf-8", "replace") for p in rest]
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        # A word of letters ends in the only id with a word end, so words can be encoded together.
+        for start in range(0, len(words), _JOINED):
+            part = words[start : start + _JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                yield from ((rest[i], a.tobytes()) for i, a in zip(part, np.split(ids, stops[:-1]), strict=True))
+            else:
+                single += part
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False)
+        yield from ((rest[i], np.array(e.ids, dtype="<u4").tobytes()) for i, e in zip(single, found, strict=True))
 
     def text_ids(self, text: bytes | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-        pieces = pre_tokens(text)
+        if text and _SPECIAL not in text:
+            pieces = _STOP.sub(rb" \g<0>", text.lower()).split()
+        else:
+            pieces = pre_tokens(text)
         missing = [p for p in dict.fromkeys(pieces) if p not in self.ids]
         if missing:
             if len(self.ids) > CACHE_ENTRIES:
-                self.ids = {}
+                self.ids.clear()
                 missing = list(dict.fromkeys(pieces))
-            self.ids.update(zip(missing, (a.tobytes() for a in encode(self.tokenizer, missing)), strict=True))
+            self.ids.update(self.encode(missing))
         out = b"".join(map(self.ids.__getitem__, pieces))
         for piece in missing:
             if len(piece) > CACHE_BYTES:
                 del self.ids[piece]
         return out
+
+
+_CACHES: dict[str, IdCache] = {}
+
+
+def id_cache(path: str) -> IdCache:
+    """The cache of a worker process; it outlives a task."""
+    if path not in _CACHES:
+        _CACHES[path] = IdCache(path)
+    return _CACHES[path]
