@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import chat_windows, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts
+from hostwarden.llm import chat_windows, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_tree.score_with_folds(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
