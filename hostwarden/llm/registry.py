@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostwarden.llm import chat_windows, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts
+from hostwarden.llm import chat_windows, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -71,6 +71,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    labelled = documents.select("doc_id", "text").join(known, "doc_id")
+    chain = toxicity.fit_chain(labelled, ["low_quality", "toxic"])
+    return toxicity.predict(documents, chain)
+
+
 @query
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = context_tree.score_with_folds(table(spark, sf_dir, "documents"))
