@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other. Each has a logistic model over word
-presence, a few shares of the text, and the probabilities of the categories before it.
+Categories are predicted one after the other. Each has a logistic model over the
+presence of words and word beginnings, a few shares of the text, and the probabilities of the categories before it.
 For training, those earlier probabilities are out of fold: each row's come from models
 that have not seen it, so a later model learns from predictions as good as it will get.
 """
@@ -16,18 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostwarden.llm.decontamination import words
-from hostwarden.llm.texts import byte_lists, small_batches, written
+from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches, written
 
-#: Bounds of the fit: labelled rows of each combination of categories, words with weights, bytes of such a word.
+#: Bounds of the fit: labelled rows of each combination of categories, features with weights, characters of a feature's word.
 SAMPLE_ROWS = 3_000
-MAX_WORDS = 2_000
-WORD_BYTES = 48
+MAX_WORDS = 1_000
+WORD_CHARACTERS = 32
+#: Lengths of the word beginnings that are features beside whole words; they meet compounds and endings.
+BEGINNINGS = range(3, 8)
 #: A word is a feature from this chi-square statistic (one degree of freedom) and this many rows on.
 MIN_CHI_SQUARE = 20.0
 MIN_ROWS = 5
 FOLDS = 3
 PENALTY = 1.0
-STEPS = 250
+NEWTON_STEPS = 10
+INNER_STEPS = 25
 THRESHOLD = 0.5
 SHARES = ("symbols", "capitals", "digits", "distinct", "word_length", "size")
 
@@ -47,6 +50,15 @@ def shares(text: bytes, found: list[bytes]) -> list[float]:
     return [other / signs, int(counts[_CAPITALS].sum()) / max(1, letters), int(counts[_DIGITS].sum()) / signs, len(set(found)) / number, min(2.0, signs / number / 10), np.log1p(len(found)) / 10]
 
 
+def signs_of(found: list[bytes]) -> set[str]:
+    """Features of a text: its words, and the beginnings of longer words with a star."""
+    distinct = b" ".join(set(found)).decode("utf-8", "replace").split()
+    out = {w for w in distinct if len(w) <= WORD_CHARACTERS}
+    for k in BEGINNINGS:
+        out.update([w[:k] + "*" for w in distinct if len(w) > k])
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -80,27 +92,44 @@ class Rows:
         return other
 
 
-def fit_logistic(rows: Rows, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> np.ndarray:
-    """Weights of a penalised logistic regression by accelerated gradient steps; the first dense column is the constant."""
-    width = rows.n_words + rows.dense.shape[1]
-    free = np.full(width, penalty)
-    free[rows.n_words] = 0.0
-    per_row = np.bincount(rows.row, minlength=len(rows.dense)) + (rows.dense**2).sum(axis=1)
-    rate = 1 / (0.25 * (weight * per_row).sum() ** 0.5 * max(1.0, (weight * per_row).max()) ** 0.5 + penalty)
-    now, ahead = np.zeros(width), np.zeros(width)
-    best = np.inf
-    for step in range(steps):
-        score = rows.scores(ahead)
-        slope = rows.gradient(weight * (_sigmoid(score) - target)) + free * ahead
-        loss = float((weight * (np.logaddexp(0, score) - target * score)).sum() + 0.5 * (free * ahead**2).sum())
-        if loss > best * 2 + 1:
-            rate /= 2
-            ahead = now.copy()
-            continue
-        best = min(best, loss)
-        following = ahead - rate * slope
-        ahead = following + step / (step + 3) * (following - now)
-        now = following
+def fit_logistic(rows: Rows, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Weights of a penalised logistic regression by Newton steps, each solved with conjugate gradients.
+
+    The first dense column is the constant, which is not penalised.
+    """
+    free = np.full(rows.n_words + rows.dense.shape[1], penalty)
+    free[rows.n_words] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        score = rows.scores(w)
+        return float((weight * (np.logaddexp(0, score) - target * score)).sum() + 0.5 * (free * w**2).sum())
+
+    now = np.zeros(len(free))
+    reached = loss(now)
+    for _ in range(NEWTON_STEPS):
+        p = _sigmoid(rows.scores(now))
+        slope = rows.gradient(weight * (p - target)) + free * now
+        bend = weight * p * (1 - p)
+        step, left = np.zeros(len(free)), -slope
+        way, size = left.copy(), float(left @ left)
+        stop = 1e-4 * size
+        for _ in range(INNER_STEPS):
+            if size <= stop or size == 0:
+                break
+            curved = rows.gradient(bend * rows.scores(way)) + free * way
+            far = size / float(way @ curved)
+            step += far * way
+            left -= far * curved
+            size, before = float(left @ left), size
+            way = left + size / before * way
+        share = 1.0
+        while (tried := loss(now + share * step)) > reached and share > 1e-6:
+            share /= 2
+        if tried > reached:
+            break
+        now, gained, reached = now + share * step, reached - tried, tried
+        if gained < 1e-6 * (1 + abs(reached)):
+            break
     return now
 
 
@@ -109,7 +138,7 @@ class Chain:
     """Fitted chain: words with weights, and per category its model's weights."""
 
     categories: tuple[str, ...]
-    words: list[bytes]
+    words: list[str]
     models: list[np.ndarray]
 
     def probabilities(self, rows: Rows) -> np.ndarray:
@@ -121,19 +150,19 @@ class Chain:
 
 
 def _features(labelled: DataFrame, carried: Sequence[str]) -> DataFrame:
-    """Distinct short words and shares of every row's text, with the columns ``carried``."""
+    """Features and shares of every row's text, with the columns ``carried``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 0):
             texts = [t or b"" for t in byte_lists(batch.column(0))]
             found = [words(t) for t in texts]
-            short = [sorted(w for w in set(f) if len(w) <= WORD_BYTES) for f in found]
+            signs = [sorted(signs_of(f)) for f in found]
             dense = [shares(t, f) for t, f in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(short, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], names=[*carried, "words", "shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(signs, pa.list_(pa.string())), pa.array(dense, pa.list_(pa.float64()))], names=[*carried, "words", "shares"])
 
     kinds = dict(labelled.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "words ARRAY<BINARY>", "shares ARRAY<DOUBLE>"])
-    return labelled.select("text", *carried).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "words ARRAY<STRING>", "shares ARRAY<DOUBLE>"])
+    return arrow_pass(labelled.select("text", *carried), run, schema)
 
 
 def sample_labelled(labelled: DataFrame, categories: Sequence[str], sample: int) -> DataFrame:
@@ -169,11 +198,11 @@ def fit_chain(
     counted = counted.agg(F.count("*").alias("rows"), *[F.sum(F.col(c).cast("double")).alias(c) for c in categories])
     statistic = F.greatest(*[_chi_square(F.col("rows"), F.col(c), total["n"], total[c]) for c in categories], F.lit(0.0))
     strong = counted.filter((F.col("rows") >= MIN_ROWS) & (statistic >= MIN_CHI_SQUARE)).orderBy(statistic.desc(), "word").limit(max_words)
-    found = [bytes(r["word"]) for r in strong.select("word").collect()]
-    look = F.array(*[F.lit(w) for w in found]) if found else F.array().cast("array<binary>")
+    found = [r["word"] for r in strong.select("word").collect()]
+    look = F.array(*[F.lit(w) for w in found]) if found else F.array().cast("array<string>")
     rows = features.select(F.array_intersect("words", look).alias("words"), "shares", *kept).toPandas()
     number = {w: i for i, w in enumerate(found)}
-    present = [np.array([number[bytes(w)] for w in ws], dtype=np.int64) for ws in rows["words"]]
+    present = [np.array([number[w] for w in ws], dtype=np.int64) for ws in rows["words"]]
     dense = np.array([[1.0, *s] for s in rows["shares"]]).reshape(-1, 1 + len(SHARES))
     base, weight = Rows(present, dense, len(found)), rows["weight"].to_numpy(dtype=np.float64)
     weight = weight / weight.mean() if len(weight) else weight
@@ -218,7 +247,7 @@ def predict(documents: DataFrame, chain: Chain, threshold: float = THRESHOLD) ->
             present, dense, empty = [], [], []
             for text in byte_lists(batch.column(1)):
                 found = words(text)
-                present.append(np.array([look[w] for w in known & set(found)], dtype=np.int64))
+                present.append(np.array([look[w] for w in known & signs_of(found)], dtype=np.int64))
                 dense.append([1.0, *shares(text or b"", found)])
                 empty.append(not found)
             rows = Rows(present, np.array(dense).reshape(-1, 1 + len(SHARES)), len(look))
@@ -228,4 +257,4 @@ def predict(documents: DataFrame, chain: Chain, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, fitted.categories[-1]])
 
     schema = ", ".join(["doc_id BIGINT", *(f"`{n}` DOUBLE" for n in names), f"`{chain.categories[-1]}` BOOLEAN"])
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow_pass(documents.select("doc_id", "text"), run, schema)
