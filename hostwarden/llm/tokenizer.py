@@ -41,8 +41,8 @@ def pre_tokens(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-#: ASCII punctuation after an ASCII letter or digit and before white space is a pre-token of its own.
-_STOP = re.compile(rb"(?<=[a-z0-9])[,.](?=[ \n])")
+#: A comma or full stop before white space that does not follow an ASCII or Latin-1 letter or a digit.
+_OTHER_STOP = re.compile(rb"[,.](?=[ \n])(?<![a-z0-9][,.])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.])").search
 #: Words of lower-case ASCII letters pass normaliser and split pattern unchanged.
 _PLAIN = re.compile(rb"[a-z]+").fullmatch
 #: Special strings are matched before lower-casing.
@@ -86,15 +86,18 @@ class IdCache:
     def text_ids(self, text: bytes | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
         if text and _SPECIAL not in text:
-            pieces = _STOP.sub(rb" \g<0>", text.lower()).split()
-        else:
-            pieces = pre_tokens(text)
-        missing = [p for p in dict.fromkeys(pieces) if p not in self.ids]
+            text = text.lower()
+            if not _OTHER_STOP(text):
+                # Such a sign after a letter or digit is a pre-token of its own; this keeps the distinct ones few.
+                text = text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
+        pieces = pre_tokens(text)
+        distinct = set(pieces)
+        missing = distinct.difference(self.ids)
         if missing:
             if len(self.ids) > CACHE_ENTRIES:
                 self.ids.clear()
-                missing = list(dict.fromkeys(pieces))
-            self.ids.update(self.encode(missing))
+                missing = distinct
+            self.ids.update(self.encode(list(missing)))
         out = b"".join(map(self.ids.__getitem__, pieces))
         for piece in missing:
             if len(piece) > CACHE_BYTES:
