@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from hostwarden.llm.texts import byte_lists, map_texts, record, small_batches, written
+from hostwarden.llm.texts import arrow_pass, byte_lists, map_texts, record, small_batches, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -144,7 +144,7 @@ def _profiles(documents: DataFrame, block: list[bytes], shingle: int, step: int)
 
     rows = documents.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"), "doc_id", "text")
     schema = "k1 BIGINT, k2 BIGINT, doc_id BIGINT, n_words BIGINT, segments ARRAY<STRUCT<start: BIGINT, ids: ARRAY<BIGINT>>>"
-    return rows.mapInArrow(run, schema)
+    return arrow_pass(rows, run, schema)
 
 
 def _hits(profile: DataFrame, windows: DataFrame) -> DataFrame:

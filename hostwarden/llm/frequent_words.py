@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hostwarden.llm.texts import byte_lists, small_batches
+from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches
 
 #: Bound of the broadcast: entries and bytes of an entry's word (16 MB at most, with values).
 FREQUENT = 200_000
 WORD_BYTES = 64
 #: A task's counter is handed on when it has so many words.
-LOCAL_WORDS = 200_000
+LOCAL_WORDS = 150_000
 
 Words = Callable[[bytes], list[bytes]]
 
@@ -54,7 +54,7 @@ def word_counts(documents: DataFrame, words: Words, counted: str | None = None)
         yield flush(totals, part)
 
     rows = documents.select("text", F.coalesce(flag, F.lit(False)).alias("flag"))
-    counts = rows.mapInArrow(run, "word BINARY, freq BIGINT, counted BIGINT")
+    counts = arrow_pass(rows, run, "word BINARY, freq BIGINT, counted BIGINT")
     return counts.groupBy("word").agg(F.sum("freq").alias("freq"), F.sum("counted").alias("counted"))
 
 
@@ -124,7 +124,7 @@ def sums_by_document(documents: DataFrame, table: DataFrame, words: Words, value
     shape = [("_row", "bigint"), *fixed, ("_word", "binary"), ("_times", "bigint"), ("n_bytes", "bigint"), ("n_words", "bigint")]
     shape += [(f"_v{i}", k) for i, k in enumerate(kinds)]
     names = [n for n, _ in shape]
-    pieces = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in shape))
+    pieces = arrow_pass(rows, run, ", ".join(f"`{n}` {k}" for n, k in shape))
     wanted = table.select(F.col("word").alias("_word"), *[F.col(v).alias(f"_t{i}") for i, v in enumerate(values)])
     joined = pieces.join(wanted, "_word", "left")
     sums = [F.sum(F.col(f"_v{i}") + F.coalesce(F.col("_times") * F.col(f"_t{i}"), F.lit(0))).alias(v) for i, v in enumerate(values)]

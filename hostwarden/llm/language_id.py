@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hostwarden.llm.texts import byte_lists, id_remainder, small_batches
+from hostwarden.llm.texts import arrow_pass, byte_lists, id_remainder, small_batches
 
 #: Bounds of the fit: documents per language, characters taken of each, bytes of a dictionary, languages.
 SAMPLE_DOCUMENTS = 600
@@ -115,7 +115,7 @@ def identify(documents: DataFrame, dictionaries: dict[str, bytes], min_margin: f
                 names=["doc_id", "lang_pred", "score", "margin", "accepted"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, lang_pred STRING, score DOUBLE, margin DOUBLE, accepted BOOLEAN")
+    return arrow_pass(documents.select("doc_id", "text"), run, "doc_id BIGINT, lang_pred STRING, score DOUBLE, margin DOUBLE, accepted BOOLEAN")
 
 
 def identify_with_folds(documents: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:

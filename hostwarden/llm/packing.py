@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hostwarden.llm.texts import byte_lists, small_batches
+from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches
 from hostwarden.llm.tokenizer import default_path, id_cache
 
 LIMIT = 2048
@@ -60,7 +60,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, limit: int = L
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
 
-    pieces = documents.select("doc_id", "text").mapInArrow(run, PIECES)
+    pieces = arrow_pass(documents.select("doc_id", "text"), run, PIECES)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 

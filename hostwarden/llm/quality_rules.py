@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from hostwarden.llm.texts import byte_lists, small_batches, written
+from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches, written
 
 #: A line is frequent in a host when more distinct documents than both limits have it.
 MIN_DOCUMENTS = 30
@@ -83,7 +83,7 @@ def profiles(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     rows = documents.select("doc_id", "text", F.coalesce("source", F.lit(NO_HOST)).alias("host"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, PROFILE)
+    return arrow_pass(rows, run, PROFILE)
 
 
 def frequent_lines(profiled: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from hostwarden.llm.components import components
-from hostwarden.llm.texts import byte_lists, small_batches, written
+from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id BIGINT, text_hash BIGINT, fp BIGINT")
+    return arrow_pass(rows, run, "doc_id BIGINT, text_hash BIGINT, fp BIGINT")
 
 
 def flips(places: range, most: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def _route(rows: DataFrame, done: int, more: int, radius: int) -> DataFrame:
                     columns = (own[can] ^ (mask >> shift)).view(np.int64), fp[can].view(np.int64), (left[can] - bits).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["prefix", "fp", "left"])
 
-    return rows.mapInArrow(run, ROUTED)
+    return arrow_pass(rows, run, ROUTED)
 
 
 def _linked(fps: np.ndarray, left: np.ndarray, free: int, radius: int) -> tuple[np.ndarray, np.ndarray]:

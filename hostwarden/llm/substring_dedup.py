@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from hostwarden.llm.texts import byte_lists, remove_written, small_batches, written
+from hostwarden.llm.texts import arrow_pass, byte_lists, remove_written, small_batches, written
 
 WINDOW = 50
 #: A semi-join side is broadcast up to so many keys (32 MB) and shuffled beyond.
@@ -114,7 +114,7 @@ def _profiles(documents: DataFrame, window: int, first: int) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, kind), pa.array(places, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_words", "kept_sha256", "hashes", "places"])
 
-    return documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, PROFILE)
+    return arrow_pass(documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, PROFILE)
 
 
 def _extended(texts: DataFrame, window: int, first: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _extended(texts: DataFrame, window: int, first: int) -> DataFrame:
             arrays = [pa.array(np.concatenate(x)) for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(order), batch.column(1).take(order), *arrays], names=["text_key", "owner", "place", "ha", "hb"])
 
-    return texts.mapInArrow(run, ROWS)
+    return arrow_pass(texts, run, ROWS)
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _cut(documents: DataFrame, starts: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["text_key", "owner", "lost", "kept"])
 
     texts = _texts_of(documents, starts).select("text_key", "owner", "text", "starts")
-    return texts.mapInArrow(run, "text_key BIGINT, owner BIGINT, lost BIGINT, kept STRING").dropDuplicates(["text_key", "owner"])
+    return arrow_pass(texts, run, "text_key BIGINT, owner BIGINT, lost BIGINT, kept STRING").dropDuplicates(["text_key", "owner"])
 
 
 def deduplicate(documents: DataFrame, window: int = WINDOW) -> DataFrame:

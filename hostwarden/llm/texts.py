@@ -17,6 +17,9 @@ from hostwarden.session import scratch_path
 
 #: Python's own batches are cut to about this many bytes of text, so that a task's memory does not follow its input.
 BATCH_BYTES = 4 << 20
+#: Batches that Spark sends to Python, if the session allows larger ones.
+ARROW_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def byte_lists(column: pa.Array) -> list[bytes | None]:
@@ -37,6 +40,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.R
             yield batch.slice(start, step)
 
 
+def arrow_pass(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ARROW_BYTES, so that a worker's memory does not follow the texts' lengths.
+
+    The session's ``spark.sql.execution.arrow.maxBytesPerBatch`` is lowered if it is larger.
+    """
+    settings = rows.sparkSession.conf
+    if int(settings.get(_BATCH_SETTING).rstrip("bB")) > ARROW_BYTES:
+        settings.set(_BATCH_SETTING, str(ARROW_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def map_texts(rows: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """One Arrow pass; ``make`` turns a slice of the rows into a batch of ``schema``."""
     place = rows.columns.index(text)
@@ -45,7 +59,7 @@ def map_texts(rows: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in small_batches(batches, place):
             yield make(batch)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_pass(rows, run, schema)
 
 
 def record(**columns: object) -> pa.RecordBatch:

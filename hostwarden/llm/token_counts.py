@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.frequent_words import sums_by_document, word_counts
-from hostwarden.llm.texts import written
+from hostwarden.llm.texts import arrow_pass, written
 from hostwarden.llm.tokenizer import default_path, load, pre_tokens
 
 LIMIT = 2048
@@ -32,7 +32,7 @@ def piece_counts(vocabulary: DataFrame, tokenizer_path: str) -> DataFrame:
                 sizes = [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], names=["word", "freq", "n_tokens"])
 
-    return vocabulary.select("word", "freq").mapInArrow(run, "word BINARY, freq BIGINT, n_tokens BIGINT")
+    return arrow_pass(vocabulary.select("word", "freq"), run, "word BINARY, freq BIGINT, n_tokens BIGINT")
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str | None = None, limit: int = LIMIT) -> DataFrame:
