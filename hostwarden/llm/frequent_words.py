@@ -21,7 +21,7 @@ from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches
 FREQUENT = 200_000
 WORD_BYTES = 64
 #: A task's counter is handed on when it has so many words.
-LOCAL_WORDS = 150_000
+LOCAL_WORDS = 100_000
 
 Words = Callable[[bytes], list[bytes]]
 

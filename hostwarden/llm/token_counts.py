@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.frequent_words import sums_by_document, word_counts
 from hostwarden.llm.texts import arrow_pass, written
-from hostwarden.llm.tokenizer import default_path, load, pre_tokens
+from hostwarden.llm.tokenizer import default_path, id_cache, pre_tokens
 
 LIMIT = 2048
 #: Pre-tokens that are encoded at once.
@@ -24,13 +24,13 @@ def piece_counts(vocabulary: DataFrame, tokenizer_path: str) -> DataFrame:
     """``vocabulary`` (word, freq) with ``n_tokens`` of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(tokenizer_path)
+        cache = id_cache(tokenizer_path)
         for batch in batches:
             for start in range(0, batch.num_rows, _ENCODED):
                 part = batch.slice(start, _ENCODED)
-                texts = [w.decode("utf-8", "replace") for w in part.column(0).to_pylist()]
-                sizes = [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], names=["word", "freq", "n_tokens"])
+                pieces = part.column(0).to_pylist()
+                sizes = {piece: len(ids) // 4 for piece, ids in cache.encode(pieces)}
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sizes[p] for p in pieces], pa.int64())], names=["word", "freq", "n_tokens"])
 
     return arrow_pass(vocabulary.select("word", "freq"), run, "word BINARY, freq BIGINT, n_tokens BIGINT")
 

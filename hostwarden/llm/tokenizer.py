@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ _LOADED: dict[str, object] = {}
 def load(path: str):
     """The tokenizer of a file, once per worker process."""
     if path not in _LOADED:
+        # Spark runs a worker per core; threads inside a worker would only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _LOADED[path] = Tokenizer.from_file(path)
