@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from hostwarden.llm import chat_windows, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from hostwarden.llm.oracles import LLM_ORACLES
+
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -77,8 +79,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    labelled = documents.select("doc_id", "text").join(known, "doc_id")
-    chain = toxicity.fit_chain(labelled, ["low_quality", "toxic"])
+    chain = toxicity.fit_chain(documents, known, ["low_quality", "toxic"])
     return toxicity.predict(documents, chain)
 
 

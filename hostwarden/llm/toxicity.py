@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwarden.llm.decontamination import words
 from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches, written
 
-#: Bounds of the fit: labelled rows of each combination of categories, features with weights, characters of a feature's word.
+#: Bounds of the fit: about this many labelled documents of each combination of categories, features with weights, characters of a feature's word.
 SAMPLE_ROWS = 3_000
 MAX_WORDS = 1_000
 WORD_CHARACTERS = 32
@@ -165,32 +165,40 @@ def _features(labelled: DataFrame, carried: Sequence[str]) -> DataFrame:
     return arrow_pass(labelled.select("text", *carried), run, schema)
 
 
-def sample_labelled(labelled: DataFrame, categories: Sequence[str], sample: int) -> DataFrame:
-    """At most ``sample`` rows of each combination of categories, those with the least hash, with a ``weight`` for the rest.
+def sample_labelled(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int) -> DataFrame:
+    """About ``sample`` labelled documents of each combination of categories, with a ``weight`` for the rest.
 
-    Rows with a null in a category, or without text, are left out.
+    The ids are chosen first, from the labels alone: of a larger combination those in a share of
+    the hash range. So only the bounded list of ids meets the documents, and no text is
+    shuffled but the sample's. An id counts once, with the least of its texts, however often
+    it is repeated. Labels with a null id or other values than 0 and 1, and ids without text,
+    are left out.
     """
-    known = labelled.dropna(subset=["text", *categories]).select("text", *categories, F.xxhash64("doc_id", "text").alias("place"))
+    known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories])
+    valid = F.col("doc_id").isNotNull()
+    for category in categories:
+        valid &= F.col(category).isin(0, 1)
+    known = known.filter(valid).distinct().withColumn("place", F.xxhash64("doc_id"))
     counts = known.groupBy(*categories).agg(F.count("*").alias("of"))
-    # Half the hash range and more is cut off first where a combination is large, so that few rows are shuffled.
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("of"))
-    near = known.join(F.broadcast(counts), list(categories)).filter(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
-    order = Window.partitionBy(*categories).orderBy("place", "text")
-    taken = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
-    weight = F.greatest(F.lit(1.0), F.col("of") / sample)
-    return taken.select("text", *categories, "place", weight.alias("weight"))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("of"))
+    taken = known.join(F.broadcast(counts), list(categories)).withColumn("weight", 1 / share)
+    taken = taken.filter(F.pmod("place", F.lit(1 << 40)) < share * (1 << 40))
+    texts = documents.filter("text IS NOT NULL").select("doc_id", "text")
+    kept = [*categories, "place", "weight"]
+    # At most 2**len(categories) times about ``sample`` ids are broadcast.
+    return texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", *kept).agg(F.min("text").alias("text")).select("text", *kept)
 
 
 def fit_chain(
-    labelled: DataFrame, categories: Sequence[str], sample: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, folds: int = FOLDS
+    documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, folds: int = FOLDS
 ) -> Chain:
-    """Fit the chain on ``labelled``: doc_id, text and a 0/1 column per category, in the order of prediction.
+    """Fit the chain on the ``documents`` (doc_id, text) with ``labels`` (doc_id and a 0/1 column per category, in the order of prediction).
 
-    The sample is bounded: ``sample`` rows for each of the at most 2**len(categories)
+    The sample is bounded: about ``sample`` documents for each of the at most 2**len(categories)
     combinations. Words are chosen by chi-square over the sample, in Spark; only the chosen ones
     and the sample's rows over them come to the driver.
     """
-    chosen = sample_labelled(labelled, categories, sample)
+    chosen = sample_labelled(documents, labels, categories, sample)
     kept = [*categories, "place", "weight"]
     features = written(_features(chosen, kept), "chain-sample")
     total = features.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in categories]).head()
