@@ -12,19 +12,24 @@ from hostwarden.functions.text import sha256_of
 CHANNEL_KEY = ("source_type", "channel")
 
 
-def normalize(documents: DataFrame, default_computer: str, batch_time: Column | None = None) -> DataFrame:
+def normalize(
+    documents: DataFrame, default_computer: str, batch_time: Column | None = None, keep: bool = False
+) -> DataFrame:
     """Parse a column of XML documents into normalized events.
 
     ``documents`` has ``xml`` (text) or ``parsed`` (from the XML scan); all other
     columns are carried along. Besides the normalized fields the result has
     ``is_bad``: malformed XML, or an event or record id that is no whole number.
-    ``batch_time`` stands in for a missing event time.
+    ``batch_time`` stands in for a missing event time. ``keep`` adds the text ``document``
+    and, for bad ones, a ``reason`` (``malformed`` or ``bad_number``).
     """
     if "parsed" not in documents.columns:
         documents = _evaluated(_spread(documents), wx.parse_event_xml(F.col("xml")), "parsed")
     carried = [name for name in documents.columns if name not in ("xml", "parsed")]
     now = F.current_timestamp() if batch_time is None else batch_time
     system = F.col("parsed.System")
+    original = F.col("xml") if "xml" in documents.columns else F.col("parsed._corrupt_record")
+    kept = [original.alias("document")] if keep else []
     # Flat columns first: only these pass the generators below.
     flat = documents.select(
         *carried,
@@ -37,6 +42,7 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
         F.col("parsed.EventData.Data").alias("_data"),
         F.col("parsed.UserData").alias("_markup"),
         (F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull()).alias("_malformed"),
+        *kept,
     )
     paired = _evaluated(flat, wx.event_data_pairs(F.col("_data")), "_pairs")
     text = _evaluated(paired, wx.settle_pairs(F.col("_pairs")), "_entries").withColumn(
@@ -54,6 +60,7 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
         "_entries",
         "_user",
         "_malformed",
+        *(["document"] if keep else []),
     )
     message = (
         F.when(F.size("_entries") > 0, wx.entries_text(F.col("_entries")))
@@ -85,9 +92,14 @@ def normalize(documents: DataFrame, default_computer: str, batch_time: Column |
             F.parse_json(F.coalesce(F.col("_user.document"), F.lit("{}"))).alias("user_data"),
         ).alias("raw"),
         is_bad.alias("is_bad"),
+        *(["document", _reason(is_bad)] if keep else []),
     )
 
 
+def _reason(is_bad: Column) -> Column:
+    return F.when(F.col("_malformed"), "malformed").when(is_bad, "bad_number").alias("reason")
+
+
 def _spread(documents: DataFrame) -> DataFrame:
     """Parsing is the costly step: few big input splits are spread over all cores before it.
 
@@ -130,25 +142,36 @@ def accepted(normalized: DataFrame, strict: bool = False) -> DataFrame:
     good = normalized.filter(~F.col("is_bad")).drop("is_bad")
     if not strict:
         return good
-    broken = normalized.filter("is_bad").select(*CHANNEL_KEY).distinct()
-    return good.join(broken, list(CHANNEL_KEY), "left_anti")
+    return good.join(_broken(normalized), list(CHANNEL_KEY), "left_anti")
 
 
-def rejected(normalized: DataFrame) -> DataFrame:
-    """Bad documents, for the reject table."""
-    return normalized.filter("is_bad").drop("is_bad")
+def _broken(normalized: DataFrame) -> DataFrame:
+    return normalized.filter("is_bad").select(*CHANNEL_KEY).distinct()
+
+
+def rejected(normalized: DataFrame, strict: bool = False) -> DataFrame:
+    """Bad documents, for the reject table; with ``strict`` also the others of their channels."""
+    bad = normalized.filter("is_bad").drop("is_bad")
+    if not strict:
+        return bad
+    others = normalized.filter(~F.col("is_bad")).drop("is_bad")
+    others = others.join(_broken(normalized), list(CHANNEL_KEY), "left_semi")
+    return bad.unionByName(others.withColumn("reason", F.lit("strict_channel")))
 
 
 def with_arrival(events: DataFrame, offset: int = 0) -> DataFrame:
     """Number the events in the order they are processed.
 
-    Channels go in registry order (``ordinal``) and each channel by record id.
+    Channels go in registry order (``ordinal``) and each channel by record id, equal
+    ones by a hash of what the event says, so that a repeated batch has the same numbers.
     ``repartitionByRange`` sorts in parallel; only one count per partition is
     needed to turn the places inside the partitions into one sequence.
     """
     from hostwarden.operators.ranking import global_positions
 
-    numbered = global_positions(events, ["ordinal", "record_id"], "arrival_seq")
+    told = [c for c in ("computer", "provider", "event_id", "time_created", "message") if c in events.columns]
+    tied = events.withColumn("_tie", F.xxhash64(*told) if told else F.lit(0))
+    numbered = global_positions(tied, ["ordinal", "record_id", "_tie"], "arrival_seq").drop("_tie")
     return numbered.withColumn("arrival_seq", F.col("arrival_seq") + F.lit(offset))
 
 

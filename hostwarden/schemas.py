@@ -73,6 +73,21 @@ ALERTS = """
 
 CHECKPOINTS = "source_type STRING, channel STRING, last_record_id BIGINT"
 
+REJECTED_EVENTS = """
+    source_type STRING, channel STRING, provider STRING, event_id BIGINT, record_id BIGINT,
+    severity STRING, time_created TIMESTAMP, computer STRING, message STRING,
+    document STRING, reason STRING, arrival_seq BIGINT
+"""
+COMMITS = "committed_at TIMESTAMP"
+
+# Tables of the store that no list or analyst query names.
+STORE_TABLES = {
+    "rejected_events": REJECTED_EVENTS,
+    "failed_runs": COLLECTOR_RUNS,
+    "commits": COMMITS,
+    "metric_commits": COMMITS,
+}
+
 TABLES = {
     "log_events": LOG_EVENTS,
     "process_events": PROCESS_EVENTS,

@@ -62,23 +62,30 @@ def after_checkpoint(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
 def next_batch(events: DataFrame, batch_size: int = 100) -> DataFrame:
     """The ``batch_size`` lowest record ids of each channel.
 
+    Equal record ids, as of two hosts, stay together, so that a checkpoint after the
+    batch passes none of them; then a batch is larger. Documents marked ``is_bad``
+    have no record id to order by: they do not count and all stay.
+
     A channel may hold most of the table. Up to ``GROUP_LIMIT`` rows Spark prunes
     each input partition before the shuffle by itself (``WindowGroupLimit``);
     above it a salted first round does the same, so no task sees a whole channel.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be greater than zero")
+    if "is_bad" in events.columns:
+        counted = next_batch(events.filter(~F.col("is_bad")).drop("is_bad"), batch_size)
+        return counted.withColumn("is_bad", F.lit(False)).unionByName(events.filter("is_bad"))
     if batch_size > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64("record_id", "arrival_seq"), F.lit(SALTS))
+        salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
         events = _lowest(events.withColumn("_salt", salt), [*CHANNEL_KEY, "_salt"], batch_size)
         events = events.drop("_salt")
     return _lowest(events, CHANNEL_KEY, batch_size)
 
 
 def _lowest(events: DataFrame, key: list[str], count: int) -> DataFrame:
-    order = Window.partitionBy(*key).orderBy("record_id", "arrival_seq")
+    order = Window.partitionBy(*key).orderBy("record_id")
     return (
-        events.withColumn("_place", F.row_number().over(order))
+        events.withColumn("_place", F.rank().over(order))
         .filter(F.col("_place") <= count)
         .drop("_place")
     )

@@ -14,14 +14,16 @@ DAY_OF = {
     "detection_findings": "event_time",
 }
 REJECTED = "rejected_events"
-COMMIT_MARK = "checkpoints"
+COMMITS = "commits"
+# Metric snapshots are numbered and committed apart from the event batches.
+COMMITS_OF = {"host_metrics": "metric_commits"}
 
 
 class TableStore:
     """Parquet tables below one shared folder.
 
-    A batch writes ``<table>/batch_id=<n>`` with overwrite. ``checkpoints`` is
-    written last: a batch without it is not committed and its rows stay unseen.
+    A batch writes ``<table>/batch_id=<n>`` with overwrite and its row in ``commits``
+    last: rows of a batch without that row stay unseen, also below later batches.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -30,24 +32,24 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, rows: DataFrame, table: str, batch_id: int) -> None:
+    def write(self, rows: DataFrame, table: str, batch_id: int, mode: str = "overwrite") -> None:
         target = f"{self.path(table)}/batch_id={batch_id}"
         day = DAY_OF.get(table)
         if day is None:
-            rows.write.mode("overwrite").parquet(target)
+            rows.write.mode(mode).parquet(target)
             return
         # One day goes to few tasks, so that days do not shatter into tiny files; the
         # rebalance splits a day that is too big for one.
         dated = rows.withColumn("event_date", F.to_date(day))
-        dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(target)
+        dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(target)
 
     def exists(self, table: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, table: str, before: int | None = None, only: int | None = None) -> DataFrame:
-        """A table, as of the batches before one, or the rows of a single batch."""
-        layout = StructType.fromDDL(schemas.TABLES[table])
+        """A table, as of the committed batches before one, or the rows of a single batch."""
+        layout = StructType.fromDDL({**schemas.TABLES, **schemas.STORE_TABLES}[table])
         stored = StructType(layout.fields).add("batch_id", LongType())
         if table in DAY_OF:
             stored = stored.add("event_date", DateType())
@@ -55,26 +57,42 @@ class TableStore:
             return self.spark.createDataFrame([], stored)
         rows = self.spark.read.schema(stored).parquet(self.path(table))
         if before is not None:
-            rows = rows.filter(F.col("batch_id") < before)
+            rows = self._committed_rows(rows.filter(F.col("batch_id") < before), table)
         if only is not None:
             rows = rows.filter(F.col("batch_id") == only)
         return rows
 
+    def commit(self, batch_id: int, table: str | None = None) -> None:
+        """Make a batch visible; ``table`` names one that is committed apart."""
+        row = self.spark.range(1).select(F.current_timestamp().alias("committed_at"))
+        self.write(row, COMMITS_OF.get(table, COMMITS), batch_id)
+
+    def _committed_rows(self, rows: DataFrame, table: str) -> DataFrame:
+        """Rows of committed batches; the other side has one number per batch."""
+        marks = self.read(COMMITS_OF.get(table, COMMITS)).select("batch_id")
+        return rows.join(marks, "batch_id", "left_semi")
+
     def table(self, table: str) -> DataFrame:
-        """The committed rows in the layout of the table."""
+        """The committed rows in the layout of the table; of the runs also the failed ones."""
         columns = schemas.columns_of(schemas.TABLES[table])
-        last = self.last_batch()
-        rows = self.read(table)
-        return rows.filter(F.col("batch_id") <= (-1 if last is None else last)).select(*columns)
+        rows = self._committed_rows(self.read(table), table).select(*columns)
+        if table == "collector_runs":
+            rows = rows.unionByName(self.read("failed_runs").select(*columns))
+        return rows
+
+    def rejected(self) -> DataFrame:
+        """The committed rejects with their documents and reasons."""
+        columns = schemas.columns_of(schemas.STORE_TABLES[REJECTED])
+        return self._committed_rows(self.read(REJECTED), REJECTED).select(*columns)
 
     def last_batch(self) -> int | None:
         """Number of the latest committed batch."""
-        if not self.exists(COMMIT_MARK):
-            return None
-        return self.spark.read.parquet(self.path(COMMIT_MARK)).agg(F.max("batch_id")).head()[0]
+        return self.read(COMMITS).agg(F.max("batch_id")).head()[0]
 
     def checkpoints(self, before: int | None = None) -> DataFrame:
         """The latest committed checkpoints; every batch stores the full set."""
         rows = self.read("checkpoints", before=before)
+        if before is None:
+            rows = self._committed_rows(rows, "checkpoints")
         latest = rows.agg(F.max("batch_id").alias("batch_id"))
         return rows.join(F.broadcast(latest), "batch_id").select("source_type", "channel", "last_record_id")

@@ -15,9 +15,9 @@ from hostwarden.operators.correlate import look_back_seconds
 from hostwarden.operators.findings import FINDING_KEY
 from hostwarden.operators.risk import assess
 from hostwarden.plans.chain import Settings, correlate_new, new_findings
-from hostwarden.schemas import COLLECTOR_RUNS
+from hostwarden.schemas import COLLECTOR_RUNS, REJECTED_EVENTS, columns_of
 from hostwarden.sources.checkpoints import advance_checkpoints, after_checkpoint, next_batch
-from hostwarden.sources.registry import resolve_sources, source_table
+from hostwarden.sources.registry import SOURCES, resolve_sources, source_table
 from hostwarden.sources.tables import REJECTED, TableStore
 
 # Arrival numbers of a batch start at its id times this.
@@ -59,33 +59,47 @@ class Ingestion:
     def prepare(self, documents: DataFrame, batch_id: int) -> DataFrame:
         """Parsed and numbered events of the enabled channels, good and bad.
 
+        Documents of registered channels that are not enabled are left out; those of a
+        channel that is not registered at all are bad, with the reason ``unknown_channel``.
         ``documents`` has ``channel`` and either ``xml`` or ``parsed``. The result is
         checkpointed by the numbering.
         """
         channels = source_table(self.spark, self.sources).filter("channel IS NOT NULL")
         lookup = channels.select("source_type", "channel", "ordinal")
-        known = documents.drop("source_type", "arrival_seq").join(F.broadcast(lookup), "channel")
-        events = nz.normalize(known, self.hostname, self._now())
+        named = documents.drop("source_type", "arrival_seq").join(F.broadcast(lookup), "channel", "left")
+        unknown = F.col("source_type").isNull()
+        registered = [channel for _, names in SOURCES.values() for channel in names]
+        known = named.filter(~unknown | ~F.coalesce(F.col("channel").isin(*registered), F.lit(False)))
+        events = nz.normalize(known, self.hostname, self._now(), keep=True)
+        events = events.withColumn("is_bad", F.col("is_bad") | unknown)
+        events = events.withColumn("reason", F.when(unknown, "unknown_channel").otherwise(F.col("reason")))
+        if not self.strict:
+            # The texts of good documents need not travel on.
+            events = events.withColumn("document", F.when(F.col("is_bad"), F.col("document")))
         if self.skip_processed:
             events = after_checkpoint(events, self.store.checkpoints(batch_id))
         if self.batch_size is not None:
             events = next_batch(events.withColumn("arrival_seq", F.lit(0)), self.batch_size)
         return nz.with_arrival(events, batch_id * ARRIVALS_PER_BATCH)
 
-    def ingest(self, documents: DataFrame, batch_id: int = 0) -> None:
-        """One batch of documents into all tables; on failure only the run is recorded."""
+    def ingest(self, documents: DataFrame, batch_id: int) -> None:
+        """One batch of documents into all tables; on failure only the run is recorded.
+
+        A successful run is recorded after the commit; failed runs are kept beside it.
+        """
         started = datetime.now(timezone.utc)
         try:
             events = self.prepare(documents, batch_id)
-            self.store.write(nz.rejected(events).drop("raw"), REJECTED, batch_id)
-            good = nz.accepted(events, self.strict)
+            rejects = nz.rejected(events, self.strict).select(*columns_of(REJECTED_EVENTS))
+            self.store.write(rejects, REJECTED, batch_id)
+            good = nz.accepted(events, self.strict).drop("document", "reason")
             inserted = self.store_events(good, batch_id)
-            bad = events.filter("is_bad").count()
+            bad = self.store.read(REJECTED, only=batch_id).count()
+            self.commit(good, batch_id)
         except Exception as problem:
-            self._record_run(batch_id, "failed", 0, 0, started, str(problem)[:1000])
+            self._record_run(batch_id, "failed", 0, 0, started, str(problem))
             raise
         self._record_run(batch_id, "success", inserted, bad, started, None)
-        self.commit(good, batch_id)
 
     def store_events(self, events: DataFrame, batch_id: int) -> int:
         """Telemetry and intelligence tables of normalized, numbered events."""
@@ -139,18 +153,24 @@ class Ingestion:
     def _record_run(self, batch_id, status, inserted, bad, started, problem) -> None:
         finished = datetime.now(timezone.utc)
         row = [(self.hostname, status, inserted, bad, started, finished, problem)]
-        self.store.write(self.spark.createDataFrame(row, COLLECTOR_RUNS), "collector_runs", batch_id)
+        runs = self.spark.createDataFrame(row, COLLECTOR_RUNS)
+        if status == "failed":
+            self.store.write(runs, "failed_runs", batch_id, "append")
+        else:
+            self.store.write(runs, "collector_runs", batch_id)
 
     def commit(self, events: DataFrame, batch_id: int) -> None:
         """Advance the checkpoints; this makes the batch visible."""
         advanced = advance_checkpoints(self.store.checkpoints(batch_id), events)
         # One row per channel of the registry.
         self.store.write(advanced.coalesce(1), "checkpoints", batch_id)
+        self.store.commit(batch_id)
 
-    def ingest_metrics(self, snapshots: DataFrame, batch_id: int = 0) -> None:
-        """Host metric snapshots into their table."""
+    def ingest_metrics(self, snapshots: DataFrame, batch_id: int) -> None:
+        """Host metric snapshots into their table; their batches are numbered apart from the events'."""
         time = None if self.batch_time is None else F.lit(self.batch_time)
         self.store.write(nz.to_host_metrics(snapshots, time), "host_metrics", batch_id)
+        self.store.commit(batch_id, "host_metrics")
 
     def start(self, documents: DataFrame, checkpoint: str, poll_seconds: int | None = 5) -> StreamingQuery:
         """Ingest a stream of documents; ``poll_seconds=None`` takes what is there and stops.

@@ -53,7 +53,15 @@ def test_batches_replays_and_failures(spark):
     with pytest.raises(Exception):
         ingestion.ingest(batch(spark, document(104, 900)).drop("xml"), 3)
     assert counts(store)[0] == 5 and store.last_batch() == 2
-    assert store.read("collector_runs", only=3).head().status == "failed"
+    assert store.read("failed_runs", only=3).head().status == "failed"
+    with pytest.raises(Exception):
+        ingestion.ingest(batch(spark, document(104, 900)).drop("xml"), 3)
+    runs = sorted(r.status for r in store.table("collector_runs").collect())
+    assert runs == ["failed"] * 2 + ["success"] * 3
+    # A batch above one that was never committed: the one below stays unseen.
+    ingestion.ingest(batch(spark, document(105, 1500)), 4)
+    store.write(store.read("log_events", only=4).drop("batch_id", "event_date"), "log_events", 3)
+    assert counts(store)[0] == 6 and store.last_batch() == 4
 
 
 def test_processed_records_can_be_skipped(spark):
@@ -86,5 +94,30 @@ def test_metrics(spark):
         [("h", True, 1.0, 2.0, 3.0, "2026-01-01")],
         "host string, psutil_available boolean, cpu_percent double, memory_percent double, disk_percent double, boot_time string",
     )
-    ingestion.ingest_metrics(rows)
-    assert ingestion.store.read("host_metrics").count() == 1
+    ingestion.ingest_metrics(rows, 0)
+    ingestion.ingest_metrics(rows, 1)
+    assert ingestion.store.table("host_metrics").count() == 2
+
+
+def test_rejects_keep_document_and_reason(spark):
+    documents = batch(spark, document(1, 0), "<Event>", document(1, 5).replace("ID>1<", "ID>one<", 1))
+    other = spark.createDataFrame([("Nowhere", document(9, 9)), (None, document(9, 9)), ("System", document(4, 4))], documents.schema)
+    for strict, expected in (
+        (False, ["bad_number", "malformed", "unknown_channel", "unknown_channel"]),
+        (True, ["bad_number", "malformed", "strict_channel", "unknown_channel", "unknown_channel"]),
+    ):
+        ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR", sources=["sysmon"], strict=strict)
+        ingestion.ingest(documents.union(other), 0)
+        rejects = ingestion.store.rejected().collect()
+        assert sorted(r.reason for r in rejects) == expected
+        assert all(r.document and r.document.startswith("<Event") for r in rejects)
+        (run,) = ingestion.store.table("collector_runs").collect()
+        assert run.rejected_count == len(expected) and run.events_inserted == (0 if strict else 1)
+
+
+def test_bad_documents_do_not_fill_a_batch_and_ties_stay_together(spark):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR", skip_processed=True, batch_size=1)
+    documents = batch(spark, "<Event>", "<Ev", document(7, 0, "A"), document(7, 1, "B"), document(8, 2))
+    for number, expected in enumerate((2, 3, 3)):
+        ingestion.ingest(documents, number)
+        assert ingestion.store.table("log_events").count() == expected
