@@ -64,4 +64,28 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-LLM_ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6}
+OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+places AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS sizes(size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cuts AS (SELECT *, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, (1000 * c.a::HUGEINT * n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest JOIN totals t ON t.lang = c.lang
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i : i + part - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS part FROM cand)) GROUP BY ALL
+),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+LLM_ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6, "op11_collocations": OP11}

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as functions of ``(spark, folder of tables)``, and their SQL."""
+"""The thirteen operators and the pipeline as functions of ``(spark, folder of tables)``, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from hostwarden.llm import chat_windows, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from hostwarden.llm import chat_windows, collocations, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, whitening
 from hostwarden.llm.oracles import LLM_ORACLES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -89,6 +89,16 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
