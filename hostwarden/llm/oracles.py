@@ -88,4 +88,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
 
-LLM_ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6, "op11_collocations": OP11}
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS key FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+late AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY key) AS least FROM win) WHERE least < doc_id),
+marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM late),
+runs AS (SELECT r, min(i) AS b, max(i) + 50 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM marked) GROUP BY r, run),
+gaps AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM runs),
+cut AS (
+  SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+LLM_ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6, "op11_collocations": OP11, "op12_suffix_radix": OP12}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from hostwarden.llm import chat_windows, collocations, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, whitening
+from hostwarden.llm import chat_windows, collocations, context_tree, decontamination, language_id, packing, quality_rules, simhash, substring_dedup, suffix_radix, token_counts, toxicity, whitening
 from hostwarden.llm.oracles import LLM_ORACLES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -94,6 +94,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_radix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hostwarden.session import scratch_path
 
@@ -40,7 +41,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.R
             yield batch.slice(start, step)
 
 
-def arrow_pass(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_pass(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most ARROW_BYTES, so that a worker's memory does not follow the texts' lengths.
 
     The session's ``spark.sql.execution.arrow.maxBytesPerBatch`` is lowered if it is larger.
