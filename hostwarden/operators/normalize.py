@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwarden.functions import windows_xml as wx
 from hostwarden.functions.text import sha256_of
+from hostwarden.operators.ranking import global_positions
 
 CHANNEL_KEY = ("source_type", "channel")
+ARRIVAL_ORDER = ["ordinal", "record_id", "_tie"]
 
 
 def normalize(
@@ -24,7 +26,7 @@ def normalize(
     and, for bad ones, a ``reason`` (``malformed`` or ``bad_number``).
     """
     if "parsed" not in documents.columns:
-        documents = _evaluated(_spread(documents), wx.parse_event_xml(F.col("xml")), "parsed")
+        documents = _evaluated(documents, wx.parse_event_xml(F.col("xml")), "parsed")
     carried = [name for name in documents.columns if name not in ("xml", "parsed")]
     now = F.current_timestamp() if batch_time is None else batch_time
     system = F.col("parsed.System")
@@ -100,17 +102,6 @@ def _reason(is_bad: Column) -> Column:
     return F.when(F.col("_malformed"), "malformed").when(is_bad, "bad_number").alias("reason")
 
 
-def _spread(documents: DataFrame) -> DataFrame:
-    """Parsing is the costly step: few big input splits are spread over all cores before it.
-
-    On a cluster the input has more splits than cores and stays where it is.
-    """
-    if documents.isStreaming:
-        return documents
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    return documents if documents.rdd.getNumPartitions() >= cores else documents.repartition(cores)
-
-
 def _evaluated(rows: DataFrame, expression: Column, name: str) -> DataFrame:
     """Add a column through a generator.
 
@@ -159,6 +150,12 @@ def rejected(normalized: DataFrame, strict: bool = False) -> DataFrame:
     return bad.unionByName(others.withColumn("reason", F.lit("strict_channel")))
 
 
+def _tie(events: DataFrame) -> Column:
+    """A hash of what an event says: orders equal record ids, alike in a repeated batch."""
+    told = [c for c in ("computer", "provider", "event_id", "time_created", "message") if c in events.columns]
+    return F.xxhash64(*told) if told else F.lit(0).cast("bigint")
+
+
 def with_arrival(events: DataFrame, offset: int = 0) -> DataFrame:
     """Number the events in the order they are processed.
 
@@ -167,14 +164,26 @@ def with_arrival(events: DataFrame, offset: int = 0) -> DataFrame:
     ``repartitionByRange`` sorts in parallel; only one count per partition is
     needed to turn the places inside the partitions into one sequence.
     """
-    from hostwarden.operators.ranking import global_positions
-
-    told = [c for c in ("computer", "provider", "event_id", "time_created", "message") if c in events.columns]
-    tied = events.withColumn("_tie", F.xxhash64(*told) if told else F.lit(0))
-    numbered = global_positions(tied, ["ordinal", "record_id", "_tie"], "arrival_seq").drop("_tie")
+    numbered = global_positions(events.withColumn("_tie", _tie(events)), ARRIVAL_ORDER, "arrival_seq").drop("_tie")
     return numbered.withColumn("arrival_seq", F.col("arrival_seq") + F.lit(offset))
 
 
+def arrival_order(events: DataFrame) -> Column:
+    """The same order as a struct to compare, for rows that need no number yet."""
+    return F.struct("ordinal", "record_id", _tie(events).alias("_tie"))
+
+
+def with_arrival_numbers(rows: DataFrame, offset: int = 0) -> DataFrame:
+    """Rows whose ``arrival_seq`` is an ``arrival_order`` -> numbers in that order; rows of one event share theirs.
+
+    Only the distinct orders are sorted, not the rows.
+    """
+    orders = global_positions(rows.select("arrival_seq.*").distinct(), ARRIVAL_ORDER, "_number")
+    flat = rows.select(*[c for c in rows.columns if c != "arrival_seq"], *[F.col(f"arrival_seq.{c}").alias(c) for c in ARRIVAL_ORDER])
+    number = (F.col("_number") + F.lit(offset)).alias("arrival_seq")
+    return flat.join(orders, ARRIVAL_ORDER).select(*[number if c == "arrival_seq" else F.col(c) for c in rows.columns])
+
+
 def raw_json(raw: str = "raw") -> Column:
     """The raw payload as JSON text with all keys in sorted order."""
     entries = F.array_sort(F.map_entries(F.col(f"{raw}.event_data")))

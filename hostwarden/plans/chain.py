@@ -74,20 +74,20 @@ class Intelligence:
     matches: DataFrame
     assessments: DataFrame
     alerts: DataFrame
+    alert_policy: AlertPolicy
 
     def counts(self) -> DataFrame:
-        """Correlations, assessments and alerts created, as one row."""
-        frames = {
-            "correlations_created": self.matches,
-            "assessments_created": self.assessments,
-            "alerts_created": self.alerts,
-        }
-        one = [
-            frame.agg(*[(F.count("*") if other == name else F.lit(0).cast("bigint")).alias(other) for other in frames])
-            for name, frame in frames.items()
-        ]
-        stacked = reduce(DataFrame.unionByName, one)
-        return stacked.agg(*[F.sum(name).alias(name) for name in frames])
+        """Correlations, assessments and alerts created, as one row.
+
+        Every match has one assessment and an alert is an assessment that reaches the
+        threshold, so one pass over the assessments counts all three.
+        """
+        every = F.count("*")
+        return self.assessments.agg(
+            every.alias("correlations_created"),
+            every.alias("assessments_created"),
+            F.count_if(F.col("score") >= self.alert_policy.minimum_score).alias("alerts_created"),
+        )
 
 
 def new_findings(events: DataFrame, settings: Settings, stored: DataFrame | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def derive(
     matches = correlate_new(findings, rules, history, stored_matches, settings.stamp)
     assessments = assess(matches, settings.risk_policy, settings.risk_providers, settings.stamp)
     alerts = raise_alerts(assessments, settings.alert_policy, settings.stamp)
-    return Intelligence(findings, matches, assessments, alerts)
+    return Intelligence(findings, matches, assessments, alerts, settings.alert_policy)
 
 
 def process(events: DataFrame, settings: Settings = Settings()) -> Intelligence:

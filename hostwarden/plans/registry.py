@@ -117,7 +117,8 @@ def normalized_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tel.event_documents(events_of(spark, sf_dir))
+    """Event XML of every event. The table may be a single row group, and parsing is costly: all cores share it."""
+    return tel.event_documents(events_of(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
 
 
 def damaged_documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +157,11 @@ def stored(spark: SparkSession, sf_dir: str) -> TableStore:
     if key not in _STORED:
         root = scratch_path(spark, "tables")
         ingestion = Ingestion(spark, root, DEFAULT_HOST, SETTINGS)
-        events = normalized_of(spark, sf_dir)
-        ingestion.store_intelligence(events, 0)
-        ingestion.commit(events, 0)
+        events, attempt = normalized_of(spark, sf_dir), ingestion.store.attempt(0)
+        ingestion.store_intelligence(events, attempt)
+        ingestion.advance(events, attempt)
+        attempt.commit()
+        attempt.clear()
         _STORED[key] = root
     return TableStore(spark, _STORED[key])
 
@@ -1148,7 +1151,7 @@ _STREAMED: dict[tuple[str, str, str], str] = {}
 
 
 def streamed(spark: SparkSession, sf_dir: str, order: str = "in_order") -> TableStore:
-    """The documents as a stream of three files, one per micro-batch, with a restart in between.
+    """The documents as a stream of three parts, one per micro-batch, with a restart after each.
 
     ``late`` sends the last third before the second one.
     """
@@ -1160,11 +1163,9 @@ def streamed(spark: SparkSession, sf_dir: str, order: str = "in_order") -> Table
         third = F.expr(f"arrival_seq * 3 div {top + 1}")
         ingestion = Ingestion(spark, root, DEFAULT_HOST, SETTINGS)
         for number in (0, 1, 2) if order == "in_order" else (0, 2, 1):
-            part = documents.filter(third == number).select("channel", "xml")
-            part.coalesce(1).write.mode("append").parquet(inbox)
-            if number != 0:
-                stream = spark.readStream.schema("channel STRING, xml STRING").option("maxFilesPerTrigger", 1)
-                ingestion.start(stream.parquet(inbox), f"{root}/progress", None).awaitTermination()
+            documents.filter(third == number).select("channel", "xml").write.mode("append").parquet(inbox)
+            stream = spark.readStream.schema("channel STRING, xml STRING").parquet(inbox)
+            ingestion.start(stream, f"{root}/progress", None).awaitTermination()
         _STREAMED[key] = root
     return TableStore(spark, _STREAMED[key])
 

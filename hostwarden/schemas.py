@@ -71,12 +71,12 @@ ALERTS = """
     inserted_at TIMESTAMP
 """
 
-CHECKPOINTS = "source_type STRING, channel STRING, last_record_id BIGINT"
+CHECKPOINTS = "source_host STRING, source_type STRING, channel STRING, last_record_id BIGINT"
 
 REJECTED_EVENTS = """
     source_type STRING, channel STRING, provider STRING, event_id BIGINT, record_id BIGINT,
     severity STRING, time_created TIMESTAMP, computer STRING, message STRING,
-    document STRING, reason STRING, arrival_seq BIGINT
+    document STRING, reason STRING, document_hash STRING, arrival_seq BIGINT
 """
 COMMITS = "committed_at TIMESTAMP"
 

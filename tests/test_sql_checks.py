@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import database, differences
+from hostwarden.plans.oracles import ORACLES as SQL
+from hostwarden.plans.registry import QUERIES
 
 FOLDER = os.environ.get("HOSTWARDEN_SF_DIR", "/root/testdata/sf0.001")
 CORE = (
@@ -19,7 +21,6 @@ CORE = (
     "b10_collector_history", "b17_highest_risk", "b23_investigation_chain", "b24_activity_by_host",
     "v05_required_columns", "v06b_unique_ids", "u02_custom_correlation_rule",
 )
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 NAMES = sorted(QUERIES) if os.environ.get("HOSTWARDEN_ALL_QUERIES") else CORE
 
 
@@ -30,6 +31,7 @@ def connection():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
