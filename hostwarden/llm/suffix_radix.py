@@ -24,20 +24,21 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from hostwarden.llm.texts import arrow_pass, byte_lists, ragged, small_batches, written
 
 DEPTH = 50
 #: Order of rows without an id: after all others.
 NO_ID = 2**63 - 1
-#: Bytes of text that one chunk settles together, and that one bucket takes.
-CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 32 << 20
+#: Bytes of text whose grams, and whose runs, a chunk settles together, and that one bucket takes.
+GRAM_CHUNK, RUN_CHUNK, BUCKET_BYTES = 16 << 20, 8 << 20, 16 << 20
 #: Different runs of one gram that a chunk sends to the gram's bucket; of a gram with more, suffixes are dealt by their own bytes.
 RUNS_OF_GRAM = 4
-#: Places hashed at once, and suffixes ordered at once in a bucket.
-SEGMENT, ORDERED = 1 << 20, 400_000
+#: Places hashed at once, suffixes ordered at once in a bucket, and runs copied at once.
+SEGMENT, ORDERED, COPIED = 1 << 20, 200_000, 50_000
 
 _FACTOR = 0x9E3779B97F4A7C15
 _SPANS, _RUNS, _SUFFIXES = 0, 1, 2
@@ -148,6 +149,37 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _compressed(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with a text column as compressed bytes: texts are shuffled twice, to their grams and to their spans."""
+    names = rows.columns
+    place = names.index(text)
+    schema = StructType([StructField(text, BinaryType()) if field.name == text else field for field in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in small_batches(batches, place):
+            packed = [None if value is None else packer.compress(value) for value in byte_lists(batch.column(place))]
+            columns = [pa.array(packed, pa.binary()) if n == place else batch.column(n) for n in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return arrow_pass(rows, run, schema)
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [b"" if value is None else unpacker.decompress(value) for value in column.to_pylist()]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of compressed texts in slices of about ``size`` compressed bytes."""
+    for batch in batches:
+        lengths = np.array([len(value or b"") for value in batch.column(text).to_pylist()], dtype=np.int64)
+        part = np.cumsum(lengths) // size
+        edges = np.flatnonzero(_starts(part))
+        for here, stop in zip(edges, np.append(edges, batch.num_rows)[1:], strict=True):
+            yield batch.slice(here, stop - here)
+
+
 # First pass: which grams two documents have.
 
 _GRAM_ROWS = "bucket INT, alive BOOLEAN, owners BINARY, salts BINARY, grams BINARY"
@@ -202,7 +234,7 @@ def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
             owner, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             kept.append((owner[text], _salt(key)[text], _mixed(gram)))
             size += len(data)
-            if size >= CHUNK_BYTES:
+            if size >= GRAM_CHUNK:
                 yield _batch(_settled_grams(*map(np.concatenate, zip(*kept, strict=True)), buckets), _GRAM_SCHEMA)
                 kept, size = [], 0
         if kept:
@@ -254,7 +286,10 @@ def _span_rows(owner: np.ndarray, key: np.ndarray, begin: np.ndarray, end: np.nd
 
 
 def _stretches(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return data[np.repeat(begin, size) + ragged(size)]
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint8)
+    parts = [(begin[here : here + COPIED], size[here : here + COPIED]) for here in range(0, len(begin), COPIED)]
+    return np.concatenate([data[np.repeat(b, n) + ragged(n)] for b, n in parts])
 
 
 def _run_hashes(blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -282,7 +317,7 @@ class _Entries:
 
     def packed(self, bucket: int) -> tuple:
         planes = b"".join(_planes(self.fields[name], np.dtype(kind).itemsize) for name, kind in _ENTRY)
-        return bucket, _RUNS, None, None, planes, self.blocks.tobytes()
+        return bucket, _RUNS, None, None, planes, zstandard.ZstdCompressor(level=3).compress(self.blocks.tobytes())
 
     @staticmethod
     def unpacked(rows: list[tuple[bytes, bytes]], depth: int) -> _Entries:
@@ -296,7 +331,8 @@ class _Entries:
                 place += size * count
             parts.append(fields)
         fields = np.concatenate(parts) if parts else np.zeros(0, dtype=_ENTRY)
-        return _Entries(fields, np.frombuffer(b"".join(blocks for _, blocks in rows), dtype=np.uint8), depth)
+        unpacker = zstandard.ZstdDecompressor()
+        return _Entries(fields, np.frombuffer(b"".join(unpacker.decompress(blocks) for _, blocks in rows), dtype=np.uint8), depth)
 
     def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order of gram, bytes and owner, without repetitions; the class number of each, and whether a smaller owner has the same run."""
@@ -317,7 +353,9 @@ class _Entries:
         """All suffixes of the runs: their first bytes as a matrix, the run of each, its place in the text."""
         run = np.repeat(np.arange(len(self.fields)), self.fields["size"])
         step = ragged(self.fields["size"].astype(np.int64))
-        matrix = self.blocks[(self.begins[run] + step)[:, None] + np.arange(self.depth)]
+        if not len(run):
+            return np.zeros((0, self.depth), dtype=np.uint8), run, step
+        matrix = np.lib.stride_tricks.sliding_window_view(self.blocks, self.depth)[self.begins[run] + step]
         return matrix, run, self.fields["start"][run] + step
 
 
@@ -418,12 +456,13 @@ def repeated_spans(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1) | 1
     alive = _alive_grams(texts.filter(F.octet_length("text") >= depth), depth, buckets)
     salted = texts.withColumn("salt", F.col("text_key").bitwiseAND(F.lit(0xFFFF)))
-    chosen = salted.join(alive, ["owner", "salt"]).select("owner", "text_key", "text", "grams")
+    packed = _compressed(salted.filter(F.octet_length("text") >= depth).select("owner", "salt", "text_key", "text"), "text")
+    chosen = packed.join(alive, ["owner", "salt"]).select("owner", "text_key", "text", "grams")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, read = [], 0
-        for batch in small_batches(batches, 2):
-            data, lengths = _joined(byte_lists(batch.column(2)))
+        for batch in _slices(batches, 2):
+            data, lengths = _joined(_texts(batch.column(2)))
             gram, text, start, count = _runs(data, lengths, depth)
             known = [np.frombuffer(b"".join(pieces), dtype="<i8").astype(np.uint64) for pieces in batch.column(3).to_pylist()]
             place = np.repeat(np.arange(len(known), dtype=np.uint64), [len(x) for x in known]) << np.uint64(48)
@@ -437,7 +476,7 @@ def repeated_spans(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
             blocks = _stretches(data, (np.cumsum(lengths) - lengths)[text] + start, count + depth - 1)
             kept.append((fields, blocks))
             read += len(data)
-            if read >= CHUNK_BYTES:
+            if read >= RUN_CHUNK:
                 yield _batch(_settled_runs(_Entries(*map(np.concatenate, zip(*kept, strict=True)), depth), buckets), _ROW_SCHEMA)
                 kept, read = [], 0
         if kept:
@@ -493,14 +532,13 @@ def _cut(documents: DataFrame, depth: int, kept_text: bool) -> DataFrame:
     spans = repeated_spans(documents, depth)
     carried = F.struct("*") if kept_text else F.struct("doc_id")
     rows = documents.select(carried.alias("row"), _owner().alias("owner"), _key().alias("text_key"), F.col("text").alias("whole"))
-    joined = rows.join(spans, ["owner", "text_key"], "left").select("row", "whole", "spans")
+    joined = _compressed(rows, "whole").join(spans, ["owner", "text_key"], "left").select("row", "whole", "spans")
     schema = StructType([joined.schema["row"], *StructType.fromDDL("n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING, kept BINARY").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
+        for batch in _slices(batches, 1):
             sizes, lost, runs, digests, left = [], [], [], [], []
-            for text, pieces in zip(byte_lists(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
+            for text, pieces in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 kept, gaps, begin = [], 0, 0
                 if pieces:
                     pairs = np.frombuffer(b"".join(pieces), dtype="<i8").reshape(-1, 2)
