@@ -244,7 +244,7 @@ def test_whitening(spark):
 def test_whitening_of_dependent_and_uneven_columns(spark):
     rng = np.random.default_rng(5)
     base = np.floor(rng.normal(0, 1, (200, 4)) * 64) / 64
-    scaled = np.column_stack([base[:, 0] * 1e5, base[:, 1], base[:, 2], base[:, 2], np.full(200, 7.0), base[:, 3] * 100])
+    scaled = np.column_stack([base[:, 0] * 1e3, base[:, 1], base[:, 2], base[:, 2], np.full(200, 7.0), base[:, 3] * 100])
     check_whitening(spark, list(enumerate(scaled)))
 
 
