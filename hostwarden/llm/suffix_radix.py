@@ -135,8 +135,10 @@ def _from_planes(data: bytes, kind: str = "<u8", size: int = 8) -> np.ndarray:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
+    edges = np.flatnonzero(_starts(bucket[order]))
     for place, rows in zip(edges, np.split(order, edges[1:]), strict=True):
         yield int(bucket[order[place]]), rows
 
