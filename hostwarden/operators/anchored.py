@@ -15,6 +15,7 @@ is one vectorised pass; a busy host fills as many cells as it has slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from hostwarden.operators.correlate import (
     required_rule_ids,
 )
 from hostwarden.operators.hot_slices import hot_groups, hot_slices
+from hostwarden.operators.late_arrivals import Arrivals, Minima, greedy_hits, window_ends
 from hostwarden.operators.temporal import (
     KERNEL_REF,
     codes,
@@ -114,8 +116,9 @@ def candidate_counts(
         own = np.flatnonzero(table.column("own").to_numpy())
         late = view.late(own)
         counts = view.event_end[own] - view.oldest[own] + 1
-        for place in np.flatnonzero(late):
-            counts[place] = len(view.arrived(own[place]))
+        if late.any():
+            rows, arrivals = own[late], view.arrivals
+            counts[late] = arrivals.count(view.oldest[rows], view.event_end[rows] + 1, arrivals.rank[rows])
         return pa.table({"finding_uuid": table.column("finding_uuid").take(own), "candidates": counts})
 
     known = to_kernel(refs(findings).filter(F.col("rule_id").isin(*needed)))
@@ -179,16 +182,15 @@ class _View:
         self.group, self.times, self.arrival, self.rule = group, times, arrival, rule
         self.names = names
         count = len(times)
-        self.oldest = np.zeros(count, dtype=np.int64)
+        self.oldest = self.key = np.zeros(count, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if count else np.array([], int)
         self.group_start = starts[group] if count else starts
         if count:
             # Within a group all times lie in two slices, so group and time fit one sort key.
             relative = times - (times // length) * length
             relative += (times // length - np.minimum.reduceat(times // length, starts)[group]) * length
-            key = group * (4 * length) + relative + length
-            self.oldest = np.searchsorted(key, key - length, side="left")
-            self.oldest = np.maximum(self.oldest, self.group_start)
+            self.key = group * (4 * length) + relative + length
+            self.oldest = self.rows_since(length)
 
         # Rows of one event share time and arrival; where the run of such rows ends.
         changes = (group[1:] != group[:-1]) | (times[1:] != times[:-1]) | (arrival[1:] != arrival[:-1])
@@ -211,10 +213,23 @@ class _View:
             width *= 2
         return late
 
-    def arrived(self, trigger: int) -> np.ndarray:
-        """Rows a trigger sees: its look-back up to its own event, without what arrived later."""
-        rows = np.arange(self.oldest[trigger], self.event_end[trigger] + 1)
-        return rows[self.arrival[rows] <= self.arrival[trigger]]
+    def rows_since(self, length: int) -> np.ndarray:
+        """For every row, the first row of its group that is at most ``length`` older."""
+        return np.maximum(np.searchsorted(self.key, self.key - length, side="left"), self.group_start)
+
+    @cached_property
+    def arrivals(self) -> Arrivals:
+        return Arrivals(self.arrival)
+
+    def _late_windows(self, triggers: np.ndarray, step: int, window: int) -> np.ndarray:
+        """Rows of the greedy windows that end at triggers with late arrivals in their look-back."""
+        arrivals = self.arrivals
+        ends = window_ends(arrivals, self.rows_since(window), step)
+        hit = triggers[greedy_hits(arrivals, ends, step, self.oldest[triggers], triggers)]
+        rows, minima = [hit], Minima(arrivals.rank)
+        for _ in range(step - 1):
+            rows.append(minima.last(rows[-1] - 1, arrivals.rank[hit]))
+        return np.stack(rows[::-1], axis=1)
 
     def windows(self, triggers: np.ndarray, rule: CorrelationRule) -> np.ndarray:
         """Rows of the greedy windows that end at a trigger."""
@@ -242,12 +257,8 @@ class _View:
             place = np.where(ahead <= plain, ahead, place)
         hit = plain[place == plain]
         found = [hit[:, None] + np.arange(-step + 1, 1)[None, :]]
-        for trigger in triggers[late]:
-            rows = self.arrived(trigger)
-            rows = rows[rows <= trigger]
-            chosen = _last_window(self.times[rows], step, window)
-            if chosen is not None:
-                found.append(rows[chosen][None, :])
+        if late.any():
+            found.append(self._late_windows(triggers[late], step, window))
         return np.concatenate(found).astype(np.int64)
 
     def selections(self, triggers: np.ndarray, rule: CorrelationRule) -> np.ndarray:
@@ -268,29 +279,18 @@ class _View:
             picks[:, column] = rows[np.searchsorted(rows, self.oldest[plain])]
             valid &= picks[:, column] <= event_end[plain]
         found = [picks[valid & (picks == plain[:, None]).any(axis=1)]]
-        for trigger in triggers[late]:
-            seen = self.arrived(trigger)
-            firsts = [seen[self.rule[seen] == number][:1] for number in numbers]
-            row = np.concatenate(firsts)
-            if len(row) == len(required) and trigger in row:
-                found.append(row[None, :])
+        if late.any():
+            rows, arrivals = triggers[late], self.arrivals
+            firsts = [
+                Minima(np.where(self.rule == number, arrivals.rank, arrivals.beyond)).first(self.oldest[rows], arrivals.rank[rows])
+                for number in numbers
+            ]
+            picks = np.stack(firsts, axis=1)
+            valid = (picks <= event_end[rows][:, None]).all(axis=1) & (picks == rows[:, None]).any(axis=1)
+            found.append(picks[valid])
         # Two findings of one event can trigger the same selection.
         chosen = np.unique(np.concatenate(found).astype(np.int64), axis=0)
         times = self.times[chosen]
         chosen = chosen[times.max(axis=1) - times.min(axis=1) <= rule.window_seconds * 1_000_000]
         by_time = np.argsort(self.times[chosen], axis=1, kind="stable")
         return np.take_along_axis(chosen, by_time, axis=1)
-
-
-def _last_window(times: np.ndarray, step: int, window: int) -> np.ndarray | None:
-    """Places of the greedy window that ends at the last row, if there is one."""
-    count = len(times)
-    if count < step:
-        return None
-    ends = np.zeros(count, dtype=bool)
-    ends[step - 1 :] = times[step - 1 :] - times[: count - step + 1] <= window
-    following = next_true(ends)
-    place = int(following[step - 1])
-    while place < count - 1:
-        place = int(following[min(place + step, count)])
-    return np.arange(count - step, count) if place == count - 1 else None

@@ -327,6 +327,30 @@ ORACLES["s02_after_checkpoint"] = over(
     "SELECT t.source_type, t.channel, t.record_id FROM tel t JOIN last l USING (source_type, channel) "
     "WHERE last_record_id = 0 OR record_id > last_record_id",
 )
+_HOST_LAST = """last AS (
+  SELECT source_host, source_type, channel, CASE WHEN source_host = 'HOST-00' THEN 0 ELSE max(record_id) // 2 END AS last_record_id
+  FROM tel GROUP BY source_host, source_type, channel)"""
+ORACLES["s02b_after_host_checkpoint"] = over(
+    f"{telemetry()}, {_HOST_LAST}",
+    "SELECT t.source_host, t.source_type, t.channel, t.record_id FROM tel t JOIN last l USING (source_host, source_type, channel) "
+    "WHERE last_record_id = 0 OR record_id > last_record_id",
+)
+ORACLES["s02c_limited_batches"] = over(
+    f"""{telemetry(from_xml=True)},
+numbered AS (
+  SELECT *, {_BAD} AS bad, rank() OVER (PARTITION BY source_type, channel, {_BAD} ORDER BY record_id) AS place,
+    (SELECT count(*) FROM tel) // 20 AS size FROM tel),
+placed AS (SELECT bad, CASE WHEN bad OR place <= size THEN 0 ELSE 1 END AS batch_id FROM numbered)""",
+    "SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) FILTER (NOT bad) AS stored, count(*) FILTER (bad) AS rejected FROM placed GROUP BY batch_id",
+)
+ORACLES["s04b_advance_host_checkpoints"] = over(
+    f"{telemetry()}, {_HOST_LAST}, seen AS (SELECT source_host, source_type, channel, max(record_id) AS seen FROM tel WHERE record_id % 3 = 0 GROUP BY ALL)",
+    "SELECT source_host, source_type, channel, greatest(last_record_id, coalesce(seen, 0)) AS last_record_id "
+    "FROM last LEFT JOIN seen USING (source_host, source_type, channel)",
+)
+ORACLES["s11b_repeated_batches"] = on_telemetry(
+    "SELECT source_type, count(*) + count(*) FILTER (record_id % 2 = 0) AS events FROM tel GROUP BY source_type"
+)
 ORACLES["s03_next_batch"] = on_telemetry(
     "SELECT source_type, channel, record_id FROM tel "
     "QUALIFY row_number() OVER (PARTITION BY source_type, channel ORDER BY record_id) <= 100"
@@ -911,3 +935,67 @@ ORACLES["u04_custom_policies"] = on_chain(
     "SELECT 'critical' AS risk_level, 80 AS risk_score, count(*) AS alerts FROM matches "
     "WHERE rule_id = 'TP-CORR-WIN-0002' HAVING count(*) > 0"
 )
+
+# ---------------------------------------------------------------- faulty rules, policies and parameters
+
+
+def faults(source: str, key: str, tests: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, '{name}' AS fault FROM {source} WHERE {test}" for name, test in tests.items())
+
+
+_TWICE = "(rule_id, rule_version) IN (SELECT (rule_id, rule_version) FROM r GROUP BY rule_id, rule_version HAVING count(*) > 1)"
+ORACLES["d13_faulty_rules"] = over(
+    """r AS (
+  SELECT event_id AS rule_no, CASE WHEN event_id % 31 = 0 THEN '  ' ELSE 'R-' || (event_id // 2) END AS rule_id,
+    (event_id // 3) % 5 AS rule_version, event_id % 13 = 0 AS severe FROM events),
+c AS (SELECT event_id AS rule_no, (event_id + place) % 7 = 6 AS unknown FROM (SELECT event_id, unnest(range(1, event_id % 3 + 1)) AS place FROM events))""",
+    faults("r", "rule_no", {
+        "blank_id": "trim(rule_id) = ''", "version_not_positive": "rule_version <= 0", "unknown_severity": "severe",
+        "no_conditions": "rule_no NOT IN (SELECT rule_no FROM c)", "unknown_operator": "rule_no IN (SELECT rule_no FROM c WHERE unknown)",
+        "given_twice": _TWICE,
+    }),
+)
+ORACLES["c15_faulty_rules"] = over(
+    """r AS (
+  SELECT event_id AS rule_no, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'C-' || (event_id // 2) END AS rule_id,
+    (event_id // 3) % 5 AS rule_version, event_id % 4 AS required, event_id % 7 AS fields, event_id % 11 AS minutes, event_id % 5 - 1 AS least,
+    event_id % 6 = 0 AS sequence, event_id % 2 = 1 AS same, event_id % 13 = 0 AS severe FROM events)""",
+    faults("r", "rule_no", {
+        "blank_id": "rule_id = ''", "version_not_positive": "rule_version <= 0", "unknown_severity": "severe", "unknown_mode": "sequence",
+        "nothing_required": "required = 0", "no_group_fields": "fields = 0", "unsupported_group_field": "fields = 1",
+        "window_not_positive": "minutes = 0", "minimum_not_positive": "least <= 0",
+        "minimum_below_required": "same AND least < least(required, 2)", "given_twice": _TWICE,
+    }),
+)
+_NAME = (
+    "CASE WHEN {0} % 11 = 0 THEN ' ' WHEN {0} % 7 = 1 THEN 'pair ' || ({0} // 2) ELSE 'provider ' || ({0} - ({0} % 5) // 4) END"
+)
+ORACLES["r08_faulty_contributions"] = over(
+    f"""p AS (SELECT provider_no, {_NAME.format('provider_no')} AS name FROM (SELECT DISTINCT user_id % 100 AS provider_no FROM events)),
+t AS (SELECT trim(name) AS own FROM p GROUP BY trim(name) HAVING count(*) > 1),
+g AS (SELECT event_id AS no, user_id % 103 AS provider_no, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE {_NAME.format('(user_id % 103)')} END AS given FROM events),
+m AS (SELECT * FROM g LEFT JOIN p USING (provider_no))""",
+    faults("m", "'contribution ' || no AS subject", {"unknown_provider": "name IS NULL", "foreign_name": "given <> name"})
+    + " UNION ALL "
+    + faults("p", "'provider ' || provider_no AS subject", {"blank_name": "trim(name) = ''", "name_twice": "trim(name) <> '' AND trim(name) IN (SELECT own FROM t)"}),
+)
+ORACLES["r09_faulty_policies"] = over(
+    """p AS (
+  SELECT event_id AS policy_no, event_id % 4 * 10 AS lo, 100 - event_id % 5 * 25 AS hi, 19 + event_id % 3 AS a, 39 - event_id % 23 AS b,
+    79 + event_id % 31 AS d FROM events)""",
+    faults("p", "policy_no", {"bounds_out_of_order": "lo >= hi", "limits_not_rising": "a >= b OR b >= 59 OR 59 >= d", "limits_out_of_bounds": "a < lo OR d >= hi"}),
+)
+ORACLES["a04_faulty_thresholds"] = faults("events", "event_id AS policy_no", {
+    "not_an_integer": "event_id % 9 IN (0, 1, 4)", "out_of_range": "event_id % 9 IN (2, 3) OR (event_id % 9 > 4 AND event_id % 103 > 100)",
+})
+ORACLES["q15_faulty_parameters"] = over(
+    """q AS (
+  SELECT event_id AS request_no, event_id % 6 AS kind, event_id % 700 - 5 AS number,
+    CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'new' WHEN event_id % 4 = 1 THEN 'open' ELSE 'high' END AS word,
+    event_id % 10 = 0 AS missing FROM events)""",
+    faults("q", "request_no", {
+        "limit": "kind = 0 AND (missing OR number < 1 OR number > 500)", "minimum_score": "kind = 1 AND NOT missing AND (number < 0 OR number > 100)",
+        "severity": "kind = 2 AND word <> 'high'", "risk_level": "kind = 3 AND word <> 'high'", "status": "kind = 4 AND word <> 'new'",
+        "unknown_name": "kind = 5",
+    }),
+)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hostwarden.functions.text import sha256_of, time_text
-from hostwarden.operators import normalize as nz, quality
+from hostwarden.operators import normalize as nz, quality, rule_checks
 from hostwarden.operators.alerts import AlertPolicy, raise_alerts
 from hostwarden.operators.anchored import anchored_groups, candidate_counts
 from hostwarden.operators.correlate import (
@@ -214,6 +214,44 @@ def s04_advance_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.advance_checkpoints(_checkpoints(rows), rows)
 
 
+def _host_checkpoints(rows: DataFrame) -> DataFrame:
+    """Checkpoint per host and channel: none for the first host, else the middle."""
+    highest = rows.groupBy("source_host", "source_type", "channel").agg(F.max("record_id").alias("top"))
+    last = F.when(F.col("source_host") == "HOST-00", 0).otherwise(F.expr("top div 2"))
+    return highest.select("source_host", "source_type", "channel", last.cast("bigint").alias("last_record_id"))
+
+
+@query
+def s02b_after_host_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalized_of(spark, sf_dir).withColumnRenamed("computer", "source_host")
+    return cp.after_checkpoint(rows, _host_checkpoints(rows)).select("source_host", "source_type", "channel", "record_id")
+
+
+@query
+def s02c_limited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged documents of all hosts, offered three times: a limited batch, the rest, nothing new.
+
+    By batch what was stored and rejected; together they are the documents.
+    """
+    documents = damaged_documents_of(spark, sf_dir)
+    limit = documents.count() // 20
+    store = None
+    for batch_id, batch_size in enumerate((limit, None, None)):
+        root = store.root if store else scratch_path(spark, "limited")
+        ingestion = Ingestion(spark, root, DEFAULT_HOST, SETTINGS, skip_processed=True, batch_size=batch_size)
+        ingestion.ingest(documents, batch_id)
+        store = ingestion.store
+    parts = {"stored": store.read("log_events", before=3), "rejected": store.read("rejected_events", before=3)}
+    counted = [rows.select("batch_id", *[F.lit(int(name == other)).alias(other) for other in parts]) for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, counted).groupBy("batch_id").agg(*[F.sum(name).alias(name) for name in parts])
+
+
+@query
+def s04b_advance_host_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalized_of(spark, sf_dir).withColumnRenamed("computer", "source_host")
+    return cp.advance_checkpoints(_host_checkpoints(rows), rows.filter("record_id % 3 = 0"))
+
+
 @query
 def s05_load_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normalized_of(spark, sf_dir)
@@ -287,6 +325,19 @@ def s11_committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.groupBy("source_type").agg(F.count("*").alias("events"))
 
 
+@query
+def s11b_repeated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 0 repeated by an attempt that fails, batch 1 by one that commits other rows."""
+    store, logs = TableStore(spark, scratch_path(spark, "repeated")), tel.log_events(events_of(spark, sf_dir))
+    even = logs.filter("event_record_id % 2 = 0")
+    for batch_id, rows, commits in ((0, logs, True), (0, even, False), (1, logs, True), (1, even, True)):
+        attempt = store.attempt(batch_id)
+        attempt.write(rows, "log_events")
+        if commits:
+            attempt.commit()
+    return store.table("log_events").groupBy("source_type").agg(F.count("*").alias("events"))
+
+
 @query
 def s12_channel_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = nz.normalize(damaged_documents_of(spark, sf_dir), DEFAULT_HOST)
@@ -546,6 +597,22 @@ def _rule_findings(spark: SparkSession, sf_dir: str, rule: DetectionRule) -> Dat
     )
 
 
+@query
+def d13_faulty_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each event, some of them faulty, with none to two conditions."""
+    rules = events_of(spark, sf_dir).select(
+        F.col("event_id").alias("rule_no"),
+        F.expr("CASE WHEN event_id % 31 = 0 THEN '  ' ELSE concat('R-', event_id div 2) END").alias("rule_id"),
+        F.expr("CAST((event_id div 3) % 5 AS INT)").alias("rule_version"),
+        F.expr("CASE WHEN event_id % 13 = 0 THEN 'severe' ELSE element_at(array('informational', 'low', 'medium', 'high', 'critical'), CAST(event_id % 5 + 1 AS INT)) END").alias("severity"),
+    )
+    operators = "array('equals', 'contains', 'contains_any', 'contains_any_token', 'ends_with', 'ends_with_any', 'matches')"
+    conditions = rules.filter("rule_no % 3 > 0").select("rule_no", F.expr("explode(sequence(1, rule_no % 3))").alias("place")).select(
+        "rule_no", F.expr(f"element_at({operators}, CAST((rule_no + place) % 7 + 1 AS INT))").alias("operator")
+    )
+    return rule_checks.faulty_detection_rules(rules, conditions)
+
+
 @query
 def d14_powershell_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule_findings(spark, sf_dir, POWERSHELL_PROCESS)
@@ -743,6 +810,22 @@ def c14_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_counts(findings_of(spark, sf_dir), [*BUILTIN_CORRELATION_RULES, HOURLY])
 
 
+@query
+def c15_faulty_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = events_of(spark, sf_dir).select(
+        F.col("event_id").alias("rule_no"),
+        F.expr("CASE WHEN event_id % 31 = 0 THEN '' ELSE concat('C-', event_id div 2) END").alias("rule_id"),
+        F.expr("CAST((event_id div 3) % 5 AS INT)").alias("rule_version"),
+        F.expr("CASE WHEN event_id % 13 = 0 THEN 'severe' ELSE 'high' END").alias("severity"),
+        F.expr("CASE WHEN event_id % 6 = 0 THEN 'sequence' WHEN event_id % 2 = 1 THEN 'same_event' ELSE 'temporal_count' END").alias("mode"),
+        F.expr("slice(array('A', 'B', 'A'), 1, CAST(event_id % 4 AS INT))").alias("required"),
+        F.expr("CASE WHEN event_id % 7 = 0 THEN array() WHEN event_id % 7 = 1 THEN array('source_host', 'title') ELSE array('source_host') END").alias("group_by"),
+        F.expr("event_id % 11 * 60").alias("window_seconds"),
+        F.expr("event_id % 5 - 1").alias("minimum_matches"),
+    )
+    return rule_checks.faulty_correlation_rules(rules)
+
+
 @query
 def c16_encoded_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(anchored_groups(findings_of(spark, sf_dir), [ENCODED_EXECUTION]), ENCODED_EXECUTION)
@@ -1145,6 +1228,42 @@ def v08_read_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def r08_faulty_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contribution for each event; providers are numbered by user, some share a name or have none."""
+    events = events_of(spark, sf_dir)
+    name = "CASE WHEN provider_no % 11 = 0 THEN ' ' WHEN provider_no % 7 = 1 THEN concat('pair ', provider_no div 2) ELSE concat('provider ', provider_no - provider_no % 5 div 4) END"
+    providers = events.select((F.col("user_id") % 100).alias("provider_no")).distinct().withColumn("name", F.expr(name))
+    given = events.select(F.col("event_id").alias("contribution_no"), (F.col("user_id") % 103).alias("provider_no"))
+    provider = F.when(F.col("contribution_no") % 17 == 0, F.lit("other")).otherwise(F.expr(name))
+    return rule_checks.faulty_contributions(given.withColumn("provider", provider), providers)
+
+
+@query
+def r09_faulty_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policies = events_of(spark, sf_dir).selectExpr(
+        "event_id AS policy_no", "event_id % 4 * 10 AS minimum_score", "100 - event_id % 5 * 25 AS maximum_score",
+        "19 + event_id % 3 AS informational_max", "39 - event_id % 23 AS low_max", "59 AS medium_max", "79 + event_id % 31 AS high_max",
+    )
+    return rule_checks.faulty_risk_policies(policies)
+
+
+@query
+def a04_faulty_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = "CASE event_id % 9 WHEN 0 THEN 'true' WHEN 1 THEN '40.5' WHEN 2 THEN '-1' WHEN 3 THEN '101' WHEN 4 THEN NULL ELSE CAST(event_id % 103 AS STRING) END"
+    return rule_checks.faulty_alert_thresholds(events_of(spark, sf_dir).selectExpr("event_id AS policy_no", f"{given} AS minimum_score"))
+
+
+@query
+def q15_faulty_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = events_of(spark, sf_dir).selectExpr(
+        "event_id AS request_no",
+        "CASE event_id % 6 WHEN 0 THEN 'limit' WHEN 1 THEN 'minimum_score' WHEN 2 THEN 'severity' WHEN 3 THEN 'risk_level' WHEN 4 THEN 'status' ELSE 'page' END AS name",
+        "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 6 < 2 THEN CAST(event_id % 700 - 5 AS STRING) WHEN event_id % 4 = 0 THEN 'new' WHEN event_id % 4 = 1 THEN 'open' ELSE 'high' END AS value",
+    )
+    return rule_checks.faulty_parameters(requests)
+
+
 # ---------------------------------------------------------------- streaming
 
 _STREAMED: dict[tuple[str, str, str], str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -121,3 +122,86 @@ def test_bad_documents_do_not_fill_a_batch_and_ties_stay_together(spark):
     for number, expected in enumerate((2, 3, 3)):
         ingestion.ingest(documents, number)
         assert ingestion.store.table("log_events").count() == expected
+
+
+def test_checkpoints_are_kept_by_host(spark):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR", skip_processed=True)
+    ingestion.ingest(batch(spark, document(100, 0, "A")), 0)
+    ingestion.ingest(batch(spark, document(100, 0, "A"), document(5, 1, "B"), document(3, 2, "")), 1)
+    store = ingestion.store
+    assert sorted((r.source_host, r.event_record_id) for r in store.table("log_events").collect()) == [("A", 100), ("B", 5), ("COLLECTOR", 3)]
+    last = {(r.source_host, r.last_record_id) for r in store.host_checkpoints().collect()}
+    assert last == {("A", 100), ("B", 5), ("COLLECTOR", 3)}
+    assert [tuple(r) for r in store.checkpoints().collect()] == [("sysmon", SYSMON, 100)]
+
+
+def test_a_failed_repetition_changes_nothing(spark, monkeypatch):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR")
+    store = ingestion.store
+    records = lambda: sorted(r.event_record_id for r in store.table("log_events").collect())
+    ingestion.ingest(batch(spark, document(1, 0), document(2, 10)), 0)
+    before = counts(store)
+
+    def fail(*_):
+        raise RuntimeError("after the log table")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ingestion, "store_intelligence", fail)
+        with pytest.raises(RuntimeError):
+            ingestion.ingest(batch(spark, document(9, 0)), 0)
+    assert records() == [1, 2] and counts(store) == before
+    runs = sorted((r.status, r.events_inserted) for r in store.table("collector_runs").collect())
+    assert runs == [("failed", 0), ("success", 2)]
+    # The next attempt that commits takes the place of all tables of the batch, of its run, too.
+    ingestion.ingest(batch(spark, document(9, 0)), 0)
+    assert records() == [9] and counts(store)[2] == 2
+    assert sorted(r.status for r in store.table("collector_runs").collect()) == ["failed", "success"]
+    assert not store.exists("staged/batch_id=0/attempt=direct")
+
+
+def test_rejects_are_stored_once(spark):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR", skip_processed=True)
+    documents = batch(spark, "<Event>", "<Event>", document(1, 0), None)
+    for number in (0, 1):
+        ingestion.ingest(documents, number)
+        # Two documents with one text are two documents; the second batch brings nothing new.
+        assert ingestion.store.rejected().count() == 3 and ingestion.store.table("log_events").count() == 1
+    runs = sorted((r.events_inserted, r.rejected_count) for r in ingestion.store.table("collector_runs").collect())
+    assert runs == [(0, 0), (1, 3)]
+
+
+def test_metrics_and_empty_polls_are_runs(spark):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR")
+    snapshots = spark.createDataFrame(
+        [("h", True, 1.0, 2.0, 3.0, "2026-01-01"), ("h", False, 1.0, 2.0, 3.0, "2026-01-01")],
+        "host string, psutil_available boolean, cpu_percent double, memory_percent double, disk_percent double, boot_time string",
+    )
+    ingestion.ingest(batch(spark, document(1, 0)), 0, snapshots)
+    ingestion.ingest(batch(spark, document(1, 0)).limit(0), 1)
+    ingestion.ingest_metrics(snapshots, 0)
+    assert ingestion.store.table("host_metrics").count() == 2
+    assert sorted(r.events_inserted for r in ingestion.store.table("collector_runs").collect()) == [0, 2]
+    assert ingestion.store.last_batch() == 1 and ingestion.store.host_checkpoints().count() == 1
+
+
+def test_history_days_prune_the_stored_side(spark):
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR", history_days=1)
+    ingestion.ingest(batch(spark, document(1, 0), document(2, 10)), 0)
+    first = datetime(2026, 1, 3)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for table in ("detection_findings", "correlation_matches"):
+        stored = ingestion._within(ingestion.store.read(table, before=1), first, first)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= ", plan) and stored.count() == 0
+    ingestion.ingest(batch(spark, document(1, 0), document(3, 20)), 1)
+    assert counts(ingestion.store)[2] == 6
+
+
+def test_order_of_arrival_is_that_of_the_numbered_events(spark):
+    """Findings are numbered alone, in the order that numbering all events would give; one event has one number."""
+    ingestion = Ingestion(spark, scratch_path(spark, "test"), "COLLECTOR")
+    documents = batch(spark, document(7, 0, "A"), document(3, 50), document(5, 20, command="notepad"), document(3, 5, "B"))
+    ingestion.ingest(documents, 2)
+    rows = sorted((r.arrival_seq, r.event_record_id, r.rule_id) for r in ingestion.store.table("detection_findings").collect())
+    assert [record for _, record, _ in rows] == [3, 3, 3, 3, 5, 7, 7]
+    assert [number - (2 << 40) for number, *_ in rows] == [0, 0, 1, 1, 2, 3, 3]
