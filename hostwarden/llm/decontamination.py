@@ -90,10 +90,10 @@ class Vocabulary:
         # Shingles begin with one of these pairs of words; most places of a text end here.
         self.pairs = {size: np.unique([int.from_bytes(k[:8], "little") for k in keys]).astype(np.uint64) for size, keys in self.known.items()}
 
-    def segments(self, own: list[bytes], step: int) -> list[dict[str, object]]:
+    def segments(self, own: list[bytes], segment: int, step: int) -> list[dict[str, object]]:
         """Stretches of places where known shingles start: first place and shingle numbers.
 
-        Longer stretches are cut into pieces of SEGMENT shingles that overlap in all but ``step``.
+        Longer stretches are cut into pieces of ``segment`` shingles that overlap in all but ``step``.
         """
         ids = np.fromiter(map(self.number.get, own, repeat(0)), np.uint32, len(own))
         raw, out = ids.tobytes(), []
@@ -115,21 +115,21 @@ class Vocabulary:
                 if found is None:
                     continue
                 if i != last + 1 and run:
-                    out += self._cut(last - len(run) + 1, run, step)
+                    out += self._cut(last - len(run) + 1, run, segment, step)
                     run = []
                 run.append(found)
                 last = i
             if run:
-                out += self._cut(last - len(run) + 1, run, step)
+                out += self._cut(last - len(run) + 1, run, segment, step)
         return out
 
     @staticmethod
-    def _cut(start: int, run: list[int], step: int) -> list[dict[str, object]]:
-        last = max(1, len(run) - SEGMENT + step)
-        return [{"start": start + i, "ids": run[i : i + SEGMENT]} for i in range(0, last, step)]
+    def _cut(start: int, run: list[int], segment: int, step: int) -> list[dict[str, object]]:
+        last = max(1, len(run) - segment + step)
+        return [{"start": start + i, "ids": run[i : i + segment]} for i in range(0, last, step)]
 
 
-def _profiles(documents: DataFrame, block: list[bytes], shingle: int, step: int) -> DataFrame:
+def _profiles(documents: DataFrame, block: list[bytes], shingle: int, segment: int, step: int) -> DataFrame:
     """Per document: content keys, doc_id, n_words, and its segments for one block of windows."""
     shared = documents.sparkSession.sparkContext.broadcast(block)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
@@ -138,7 +138,7 @@ def _profiles(documents: DataFrame, block: list[bytes], shingle: int, step: int)
         vocabulary = Vocabulary(shared.value, shingle)
         for batch in small_batches(batches, 3):
             texts = [words(t) for t in byte_lists(batch.column(3))]
-            found = [vocabulary.segments(own, step) for own in texts]
+            found = [vocabulary.segments(own, segment, step) for own in texts]
             columns = [*batch.columns[:3], pa.array([len(own) for own in texts], pa.int64()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "n_words", "segments"])
 
@@ -197,12 +197,15 @@ def contamination(
     size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("win")), F.lit(0)).alias("bytes")).head()
     blocks = max(1, ceil(size["n"] / block_windows), ceil(size["bytes"] / BLOCK_BYTES))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("win"), F.lit(blocks)))
-    step = SEGMENT - max(1, window - shingle)
+    # A segment holds any window whole, and two that follow each other share all but the last shingle of one.
+    overlap = max(1, window - shingle)
+    segment = max(SEGMENT, 2 * overlap + 2)
+    step = segment - overlap
     first = hits = None
     for number in range(blocks):
         part = windows.filter(F.col("block") == number).drop("block")
         block = [bytes(r["win"]) for r in part.select("win").collect()]  # bounded by the block's size
-        profile = written(_profiles(documents, block, shingle, step), "segments")
+        profile = written(_profiles(documents, block, shingle, segment, step), "segments")
         found = _hits(profile, part)
         first = first if first is not None else profile
         hits = found if hits is None else hits.unionByName(found)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.texts import arrow_pass, byte_lists, small_batches
-from hostwarden.llm.tokenizer import default_path, id_cache
+from hostwarden.llm.tokenizer import checked, default_path, id_cache
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, start BIGINT, length BIGINT, doc_tokens BIGINT, bucket INT, ids BINARY"
@@ -43,7 +43,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, limit: int = L
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
-    path = tokenizer_path or default_path()
+    path = checked(tokenizer_path or default_path())
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hostwarden.llm.frequent_words import sums_by_document, word_counts
 from hostwarden.llm.texts import arrow_pass, written
-from hostwarden.llm.tokenizer import default_path, id_cache, pre_tokens
+from hostwarden.llm.tokenizer import checked, default_path, id_cache, pre_tokens
 
 LIMIT = 2048
 #: Pre-tokens that are encoded at once.
@@ -43,7 +43,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str | None = None, limit:
     null doc_id stays null, repeated rows give repeated results, other columns are not
     read. A word of any length is one pre-token and is never cut.
     """
-    path = tokenizer_path or default_path()
+    path = checked(tokenizer_path or default_path())
     texts = documents.select("doc_id", "text")
     vocabulary = written(piece_counts(word_counts(texts, pre_tokens), path), "pre-tokens")
     sums = sums_by_document(texts, vocabulary, pre_tokens, ["n_tokens"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -13,6 +14,10 @@ CACHE_ENTRIES = 500_000
 #: Longer pre-tokens are encoded each time, so that the cache stays small.
 CACHE_BYTES = 64
 
+# The normaliser and the split pattern that the pre-tokens below are right for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _LOADED: dict[str, object] = {}
 
 
@@ -34,6 +39,28 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def checked(path: str) -> str:
+    """The path of a tokenizer file whose texts may be cut at white space; another kind of file is refused.
+
+    Other vocabularies keep white space or letter case in their ids, so the ids of a text
+    would not be those of its pre-tokens.
+    """
+    try:
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        normalizers = rules["normalizer"]["normalizers"]
+        split, pieces = rules["pre_tokenizer"]["pretokenizers"]
+        known = normalizers == NORMALIZERS and split["pattern"] == {"Regex": SPLIT} and split["behavior"] == "Removed" and split["invert"]
+        known = known and pieces["type"] == "ByteLevel" and not pieces["add_prefix_space"] and not pieces["use_regex"]
+        known = known and rules["model"]["end_of_word_suffix"] == "</w>"
+        known = known and all(token["content"].startswith(_SPECIAL.decode()) for token in rules["added_tokens"])
+    except (KeyError, TypeError, ValueError):
+        known = False
+    if not known:
+        raise ValueError(f"{path} does not cut texts at white space after lower-casing them")
+    return path
+
+
 def pre_tokens(text: bytes | None) -> list[bytes]:
     """The pre-tokens of a text: its stretches without ASCII white space.
 

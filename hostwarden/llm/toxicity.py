@@ -140,6 +140,8 @@ class Chain:
     categories: tuple[str, ...]
     words: list[str]
     models: list[np.ndarray]
+    #: Whether there was any row to fit.
+    fitted: bool = True
 
     def probabilities(self, rows: Rows) -> np.ndarray:
         out = []
@@ -225,7 +227,7 @@ def fit_chain(
             model = fit_logistic(current.take(rest), target[rest], weight[rest])
             outside[own] = _sigmoid(current.take(own).scores(model))
         current = current.with_column(outside)
-    return Chain(tuple(categories), found, models)
+    return Chain(tuple(categories), found, models, len(rows) > 0)
 
 
 def _chi_square(rows: Column, positive: Column, n: int, all_positive: float) -> Column:
@@ -260,7 +262,7 @@ def predict(documents: DataFrame, chain: Chain, threshold: float = THRESHOLD) ->
                 empty.append(not found)
             rows = Rows(present, np.array(dense).reshape(-1, 1 + len(SHARES)), len(look))
             out = fitted.probabilities(rows)
-            flagged = (out[:, -1] >= threshold) & (out[:, -1] != 0.5) & ~np.array(empty, dtype=bool)
+            flagged = (out[:, -1] >= threshold) & fitted.fitted & ~np.array(empty, dtype=bool)
             columns = [batch.column(0), *(pa.array(out[:, i]) for i in range(len(names))), pa.array(flagged)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, fitted.categories[-1]])
 

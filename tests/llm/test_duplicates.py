@@ -199,3 +199,16 @@ def test_contamination_without_rows(spark):
     nothing = spark.createDataFrame([], "item_id BIGINT, text STRING")
     assert decontamination.contamination(frame(spark), nothing).filter("n_hit > 0 OR contaminated").count() == 0
     assert decontamination.contamination(frame(spark, []), nothing).count() == 0
+
+
+@pytest.mark.parametrize("window", [13, 60, 69, 70, 130])
+def test_contamination_by_long_windows(spark, window):
+    passage = [f"word{i}" for i in range(200)]
+    rows = [
+        (1, " ".join(["before", *passage, "after"]), *[None] * 11),
+        (2, " ".join(["before", *passage[: window - 1], "after"]), *[None] * 11),
+        (3, " ".join([*passage[20 : 20 + window], "x", *passage[20 : 20 + window]]), *[None] * 11),
+    ]
+    item = spark.createDataFrame([("a", " ".join(passage))], "item_id string, text string")
+    found = decontamination.contamination(frame(spark, rows), item, window=window)
+    assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == {1: 200, 2: 0, 3: 2 * window}

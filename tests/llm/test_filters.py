@@ -187,3 +187,13 @@ def test_logistic_fit_matches_its_optimum():
     slope[7] += weights[7]
     assert np.abs(slope).max() < 1e-2
     assert rows.take(np.arange(400) < 9).scores(weights).tolist() == pytest.approx(rows.scores(weights)[:9].tolist())
+
+
+def test_a_score_of_one_half_counts_like_any_other(spark):
+    plain = toxicity.Chain(("junk",), [], [np.zeros(1 + len(toxicity.SHARES))])
+    rows = frame(spark, [(1, "some words", *[None] * 11), (2, "", *[None] * 11)])
+    for chain, threshold, expected in ((plain, 0.3, {1: True, 2: False}), (plain, 0.6, {1: False, 2: False})):
+        found = toxicity.predict(rows, chain, threshold).collect()
+        assert {r["doc_id"]: r["junk"] for r in found} == expected and {r["junk_score"] for r in found} == {0.5}
+    unfitted = toxicity.Chain(("junk",), [], plain.models, fitted=False)
+    assert not any(r["junk"] for r in toxicity.predict(rows, unfitted, 0.3).collect())

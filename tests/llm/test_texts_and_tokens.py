@@ -82,3 +82,13 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     assert token_counts.count_tokens(none).count() == 0
     assert packing.pack(none).count() == 0
+
+
+def test_other_vocabularies_are_refused(spark, tmp_path):
+    """Their ids are not those of the pre-tokens: "Hello big world" would come out in lower case, without its spaces."""
+    (tmp_path / "no.json").write_text("{}")
+    for path in (default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"), str(tmp_path / "no.json")):
+        with pytest.raises(ValueError):
+            token_counts.count_tokens(frame(spark), path)
+        with pytest.raises(ValueError):
+            packing.pack(frame(spark), path)
