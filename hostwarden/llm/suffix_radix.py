@@ -40,6 +40,8 @@ RUNS_OF_GRAM = 4
 #: Places hashed at once, suffixes ordered at once in a bucket, and runs copied at once.
 SEGMENT, ORDERED, COPIED = 1 << 20, 200_000, 50_000
 
+#: Whether Spark removes the shuffle files of a query when it ends; otherwise when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FACTOR = 0x9E3779B97F4A7C15
 _SPANS, _RUNS, _SUFFIXES = 0, 1, 2
 _PLAIN, _DEALT, _WITNESS = 0, 1, 2
@@ -189,7 +191,7 @@ _GRAM_ROWS = "bucket INT, alive BOOLEAN, owners BINARY, salts BINARY, grams BINA
 
 def _gram_row(bucket: int, alive: bool, owner: np.ndarray, salt: np.ndarray, gram: np.ndarray) -> tuple:
     order = np.argsort(owner, kind="stable")
-    return bucket, alive, _planes(np.diff(owner[order], prepend=0)), _planes(salt[order], 2), _planes(gram[order], 6)
+    return bucket, alive, _planes(np.diff(owner[order], prepend=0)), _planes(salt[order], 1), _planes(gram[order], 6)
 
 
 def _settled_grams(owner: np.ndarray, salt: np.ndarray, gram: np.ndarray, buckets: int) -> list[tuple]:
@@ -222,7 +224,7 @@ _ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("owner",
 
 
 def _salt(key: np.ndarray) -> np.ndarray:
-    return key.view(np.uint64) & np.uint64(0xFFFF)
+    return key.view(np.uint64) & np.uint64(0xFF)
 
 
 def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -246,7 +248,7 @@ def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
         owners, salts, grams, alive = [], [], [], []
         for known, owner, salt, gram in zip(*[table.column(c).to_pylist() for c in ("alive", "owners", "salts", "grams")], strict=True):
             owners.append(np.cumsum(_from_planes(owner, "<i8")))
-            salts.append(_from_planes(salt, "<i8", 2))
+            salts.append(_from_planes(salt, "<i8", 1))
             grams.append(_from_planes(gram, "<i8", 6))
             alive.append(np.full(len(owners[-1]), known))
         owner, salt, gram, known = map(np.concatenate, (owners, salts, grams, alive))
@@ -457,7 +459,7 @@ def repeated_spans(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     # An odd number, so that the low bits of a gram say nothing about its bucket.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1) | 1
     alive = _alive_grams(texts.filter(F.octet_length("text") >= depth), depth, buckets)
-    salted = texts.withColumn("salt", F.col("text_key").bitwiseAND(F.lit(0xFFFF)))
+    salted = texts.withColumn("salt", F.col("text_key").bitwiseAND(F.lit(0xFF)))
     packed = _compressed(salted.filter(F.octet_length("text") >= depth).select("owner", "salt", "text_key", "text"), "text")
     chosen = packed.join(alive, ["owner", "salt"]).select("owner", "text_key", "text", "grams")
 
@@ -515,12 +517,23 @@ def repeated_spans(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         late = radix_groups(matrix, owner)
         return _table_of(_span_rows(owner[late], key[late], place[late], place[late] + depth, buckets))
 
-    settled = written(arrow_pass(chosen, scan, _ROWS).groupBy("bucket").applyInArrow(settle, _ROWS), "suffix-settled")
+    settled = _written(arrow_pass(chosen, scan, _ROWS).groupBy("bucket").applyInArrow(settle, _ROWS), "suffix-settled")
     ordered = settled.filter(F.col("kind") == _SUFFIXES).groupBy("bucket").applyInArrow(last, _ROWS)
     spans = settled.filter(F.col("kind") == _SPANS).unionByName(ordered).select("owner", "text_key", "fields")
     return spans.groupBy("owner", "text_key").agg(F.collect_list("fields").alias("spans"))
 
 
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """``written``, and the shuffles behind it are deleted at once: they hold more than the result."""
+    settings = frame.sparkSession.conf
+    before = settings.get(_CLEANUP, "false")
+    settings.set(_CLEANUP, "true")
+    try:
+        return written(frame, name)
+    finally:
+        settings.set(_CLEANUP, before)
+
+
 def _owner() -> Column:
     return F.coalesce("doc_id", F.lit(NO_ID))
 
