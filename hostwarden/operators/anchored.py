@@ -36,10 +36,13 @@ from hostwarden.operators.temporal import (
     from_kernel,
     member_lists,
     next_true,
+    reaches,
     to_kernel,
 )
 
 CELLS_PER_SHUFFLE_PARTITION = 4
+# Findings of a cell on average, at most.
+CELL_ROWS = 500_000
 # Findings of one slice of one group that one cell may still take.
 HOT_ROWS = 2_000_000
 
@@ -54,8 +57,8 @@ def anchored_groups(
     """New findings, and stored ones as ``history`` -> ``(rule_pos, members)``.
 
     All rules share one shuffle of the narrow refs. A slice of a group with more
-    than ``hot_rows`` findings is too big for one cell; where its result has a
-    closed form it is computed over range partitions instead.
+    than ``hot_rows`` findings is too big for one cell; it is split by position
+    instead, unless some of its findings arrived out of order.
     """
     schema = f"rule_pos int, members array<{KERNEL_REF}>"
     length = look_back_seconds(rules) * 1_000_000
@@ -76,7 +79,8 @@ def anchored_groups(
         return pa.concat_tables(found)
 
     key = ["rule_pos", "source_host", "group_key", "slice"]
-    hot = hot_slices(sliced, rules, length, key, hot_rows)
+    total, hot = hot_slices(sliced, key, hot_rows)
+    cells = cells or max(_usual_cells(sliced), -(-total // CELL_ROWS))
     if hot is None:
         return from_kernel(_by_cell(sliced, key, cells).applyInArrow(kernel, schema))
     usual = sliced.join(F.broadcast(hot), key, "left_anti")
@@ -134,10 +138,12 @@ def _sliced(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _usual_cells(rows: DataFrame) -> int:
+    return CELLS_PER_SHUFFLE_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _by_cell(rows: DataFrame, key: list[str], cells: int | None):
-    if cells is None:
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cells = CELLS_PER_SHUFFLE_PARTITION * partitions
+    cells = cells or _usual_cells(rows)
     return rows.withColumn("cell", F.pmod(F.xxhash64(*key), F.lit(cells))).groupBy("cell")
 
 
@@ -245,17 +251,8 @@ class _View:
             )
         following = next_true(ends)
         plain = plain[ends[plain]]
-        # From the first possible end, hop to the next one `step` rows on; the hops are
-        # doubled, and a trigger is hit when the farthest hop not beyond it is itself.
-        place = following[np.minimum(self.oldest[plain] + step - 1, count)]
-        hops = [np.append(following[np.minimum(np.arange(count) + step, count)], count)]
-        reach = int((plain - place).max(initial=0)) // step
-        while (1 << len(hops)) <= reach:
-            hops.append(hops[-1][hops[-1]])
-        for hop in reversed(hops):
-            ahead = hop[place]
-            place = np.where(ahead <= plain, ahead, place)
-        hit = plain[place == plain]
+        first = following[np.minimum(self.oldest[plain] + step - 1, count)]
+        hit = plain[reaches(following, first, plain, step)]
         found = [hit[:, None] + np.arange(-step + 1, 1)[None, :]]
         if late.any():
             found.append(self._late_windows(triggers[late], step, window))

@@ -75,6 +75,23 @@ def next_true(flags: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(following[::-1])[::-1]
 
 
+def reaches(following: np.ndarray, place: np.ndarray, target: np.ndarray, step: int) -> np.ndarray:
+    """Whether the greedy scan that ends its first window at ``place`` ends one at ``target``, too.
+
+    ``following`` holds the first possible end from each row on. The hop to the next window is
+    doubled, and a target is reached when the farthest hop not beyond it is itself.
+    """
+    count = len(following) - 1
+    hops = [np.append(following[np.minimum(np.arange(count) + step, count)], count)]
+    reach = int((target - place).max(initial=0)) // step
+    while (1 << len(hops)) <= reach:
+        hops.append(hops[-1][hops[-1]])
+    for hop in reversed(hops):
+        ahead = hop[place]
+        place = np.where(ahead <= target, ahead, place)
+    return place == target
+
+
 def _possible_ends(table: pa.Table, rule: CorrelationRule) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The chunk in order, its own rows, and for each of them whether a match could end there."""
     table = table.take(np.argsort(table.column("position").to_numpy(), kind="stable"))
@@ -90,7 +107,7 @@ def _possible_ends(table: pa.Table, rule: CorrelationRule) -> tuple[pa.Table, np
     return table, own, fits[own]
 
 
-def _walk(following: np.ndarray, wait: int, step: int) -> tuple[list[int], int]:
+def walk(following: np.ndarray, wait: int, step: int) -> tuple[list[int], int]:
     """Chosen ends of a chunk entered with ``wait``, and the wait it leaves behind."""
     count = len(following) - 1
     chosen, place = [], int(following[min(wait, count)])
@@ -121,7 +138,7 @@ def full_history_groups(
         if not len(own):
             return pa.table({"chunk": pa.array([], pa.int64()), "exits": pa.array([], pa.list_(pa.int64()))})
         following = next_true(ends)
-        exits = [_walk(following, wait, step)[1] for wait in range(step)]
+        exits = [walk(following, wait, step)[1] for wait in range(step)]
         return pa.table({"chunk": [chunk], "exits": pa.array([exits], pa.list_(pa.int64()))})
 
     def chain(table: pa.Table) -> pa.Table:
@@ -140,7 +157,7 @@ def full_history_groups(
     def emit(table: pa.Table) -> pa.Table:
         wait = table.column("entry")[0].as_py()
         table, own, ends = _possible_ends(table, rule)
-        chosen, _ = _walk(next_true(ends), wait, step)
+        chosen, _ = walk(next_true(ends), wait, step)
         last = own[np.array(chosen, dtype=np.int64)]
         rows = last[:, None] + np.arange(-step + 1, 1)[None, :]
         return pa.table(

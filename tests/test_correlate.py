@@ -213,6 +213,23 @@ def test_hot_slices_equal_simulation(spark, monkeypatch, name, shuffled):
     assert counted and len(found) == len(set(found)) and set(found) == live(new, rules, known)
 
 
+@pytest.mark.parametrize("shuffled", [0.0, 0.02])
+def test_hot_slices_of_all_kinds_of_rules(spark, monkeypatch, shuffled):
+    """Windows shorter than the look-back and same-event rules, one host with nine tenths of the rows."""
+    kinds = []
+    for name in ("_by_chunks", "_first_of_rules"):
+        monkeypatch.setattr(hot_slices, name, lambda *a, run=getattr(hot_slices, name), name=name: kinds.append(name) or run(*a))
+    monkeypatch.setattr(hot_slices, "CHUNK_ROWS", 7)
+    rules = RULE_SETS["short_windows"]
+    rows = [r[:3] + ("H1" if i % 10 else "H2",) + r[4:] for i, r in enumerate(random_rows(33, shuffled=shuffled))]
+    middle = len({r[2] for r in rows}) // 4
+    known, new = [r for r in rows if r[2] < middle], [r for r in rows if r[2] >= middle]
+    groups = anchored_groups(frame(spark, new), rules, frame(spark, known), 3, hot_rows=9)
+    found = [(row.rule_pos, tuple(m.finding_uuid for m in row.members)) for row in groups.collect()]
+    assert set(kinds) == {"_by_chunks", "_first_of_rules"}
+    assert len(found) == len(set(found)) and set(found) == live(new, rules, known)
+
+
 def test_anchored_with_history_equals_simulation(spark):
     rules = RULE_SETS["short_windows"]
     rows = random_rows(5, shuffled=0.2)
