@@ -133,11 +133,39 @@ def is_eligible(rule: DetectionRule) -> Column:
     return F.coalesce(same, F.lit(False)) if rule.enabled else F.lit(False)
 
 
+def _index(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame:
+    """Rows that some rule's source and event id can meet, by plain comparisons that a Parquet scan takes over.
+
+    They need a whole-number column; of another type every row goes on to the exact test.
+    """
+    kinds = {field.name: field.dataType for field in events.schema.fields}
+    if not rules:
+        return events.filter(F.lit(False))
+    if not isinstance(kinds["event_id"], (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return events
+    numbers = sorted({rule.event_id for rule in rules})
+    number = F.col("event_id").isin(*numbers)
+    if 0 in numbers:
+        number |= F.col("event_id").isNull()
+    return events.filter(F.col("source_type").isin(*sorted({rule.source_type for rule in rules})) & number)
+
+
+def _dispatched(active: Sequence[tuple[int, DetectionRule]], hits: dict[int, Column], eligible: dict[int, Column], kind: str) -> Column:
+    """The hits of a row. Rules of one source and event id are tested together, so a row runs into those of its own pair only."""
+    pairs: dict[tuple[str, int], list[int]] = {}
+    for pos, rule in active:
+        pairs.setdefault((rule.source_type, rule.event_id), []).append(pos)
+    chosen = F.lit(None).cast(f"array<{kind}>")
+    for places in pairs.values():
+        chosen = F.when(eligible[places[0]], F.array(*[hits[pos] for pos in places])).otherwise(chosen)
+    return chosen
+
+
 def rule_matches(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame:
     """One row per event and matching rule: the event's columns, ``rule_pos``, ``evidence``.
 
     All rules run in one pass over the events. Rows of no rule's source and event
-    id are filtered first, where the scan can take the predicate, and the rest
+    id are filtered first, where the scan takes the predicate over, and the rest
     never leaves the stage: no shuffle.
     """
     validate_rules(rules)
@@ -152,7 +180,8 @@ def rule_matches(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame
                 texts.setdefault((condition.field_path, True), f"_text{len(texts)}")
     plain = {name: field_text(events.schema, path) for (path, folded), name in texts.items() if not folded}
     folds = {name: fold(F.col(texts[path, False])) for (path, folded), name in texts.items() if folded}
-    hits = []
+    kind = "struct<rule_pos: int, evidence: map<string, string>>"
+    hits = {}
     for pos, rule in active:
         found = _all_of(
             [condition_matches(F.col(texts[c.field_path, not c.case_sensitive]), c) for c in rule.conditions]
@@ -162,14 +191,12 @@ def rule_matches(events: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame
             *[part for p in paths for part in (F.lit(p), F.col(texts[p, False]))]
         )
         hit = F.struct(F.lit(pos).alias("rule_pos"), evidence.alias("evidence"))
-        hits.append(F.when(eligible[pos] & found, hit))
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_pos: int, evidence: map<string, string>>")]
+        hits[pos] = F.when(found, hit)
     return (
-        events.filter(_any_of(list(eligible.values())))
+        _index(events, [rule for _, rule in active])
         .withColumns(plain)
         .withColumns(folds)
-        .withColumn("_hit", F.explode(F.array(*hits)))
+        .withColumn("_hit", F.explode(_dispatched(active, hits, eligible, kind)))
         .filter(F.col("_hit").isNotNull())
         .select(*events.columns, "_hit.rule_pos", "_hit.evidence")
     )

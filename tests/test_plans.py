@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import pytest
 
 import __spark_entry__ as entry_points
 from hostwarden.operators.detect import detect
-from hostwarden.operators.detection_rules import BUILTIN_DETECTION_RULES
+from hostwarden.operators.detection_rules import BUILTIN_DETECTION_RULES, ENCODED_POWERSHELL
 from hostwarden.plans.registry import normalized_of, table_of
 from hostwarden.plans import intelligence_queries as iq
 
@@ -25,6 +27,20 @@ def test_detection_does_not_shuffle(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
 
 
+def test_rules_reach_the_scan(spark, tmp_path):
+    """Source and event id of the rules are pushed to stored events, also those of many rules."""
+    normalized_of(spark, FOLDER).write.parquet(str(tmp_path / "events"))
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    many = [dataclasses.replace(ENCODED_POWERSHELL, rule_id=f"R{i}", event_id=i % 40) for i in range(500)]
+    for rules, first in ((BUILTIN_DETECTION_RULES, "EqualTo(event_id,1)"), (many, "In(event_id, [0,1,10")):
+        frame = detect(stored, rules)
+        plan = plan_of(frame)
+        assert "EqualTo(source_type,sysmon)" in plan and first in plan, plan
+        assert "Exchange" not in plan and "Python" not in plan
+    found = detect(stored, many).groupBy("rule_id").count().collect()
+    assert {r["rule_id"] for r in found} <= {f"R{i}" for i in range(500) if i % 40 in (0, 1, 3)} and len(found) >= 13
+
+
 def test_counts_read_one_column_and_count_before_the_shuffle(spark):
     plan = plan_of(QUERIES["b02_logs_by_source"](spark, FOLDER))
     assert "ReadSchema: struct<event_type:string>" in plan
