@@ -67,12 +67,12 @@ def anchored_groups(
     seen = refs(findings).withColumn("is_new", F.lit(True))
     if history is not None:
         seen = seen.unionByName(refs(history).withColumn("is_new", F.lit(False)))
-    sliced = _sliced(_per_rule(seen, rules), length)
+    sliced = _sliced(per_rule(seen, rules), length)
 
     def kernel(table: pa.Table) -> pa.Table:
         positions = table.column("rule_pos")
         found = [
-            _matches_of_rule(table.filter(pc.equal(positions, pos)), pos, rule, length)
+            matches_of_rule(table.filter(pc.equal(positions, pos)), pos, rule, length)
             for pos, rule in enumerate(rules)
             if rule.enabled
         ]
@@ -89,7 +89,7 @@ def anchored_groups(
     return from_kernel(regular.unionByName(hot_groups(busy, rules, length, key)))
 
 
-def _per_rule(seen: DataFrame, rules: Sequence[CorrelationRule]) -> DataFrame:
+def per_rule(seen: DataFrame, rules: Sequence[CorrelationRule]) -> DataFrame:
     """One row per finding and enabled rule that needs it, with the rule's grouping values."""
     rows, group_key = [], F.lit(None).cast("string")
     for pos, rule in enumerate(rules):
@@ -164,7 +164,7 @@ def _ordered_view(
     return table.take(order), view
 
 
-def _matches_of_rule(table: pa.Table, rule_pos: int, rule: CorrelationRule, length: int) -> pa.Table:
+def matches_of_rule(table: pa.Table, rule_pos: int, rule: CorrelationRule, length: int) -> pa.Table:
     names = sorted(set(rule.required_detection_rule_ids))
     table, view = _ordered_view(table, list(rule.group_by), names, length)
     fresh = pc.and_(table.column("own"), table.column("is_new"))

@@ -936,6 +936,8 @@ ORACLES["u04_custom_policies"] = on_chain(
     "WHERE rule_id = 'TP-CORR-WIN-0002' HAVING count(*) > 0"
 )
 
+ORACLES["t03b_stateful_matches"] = on_chain(f"SELECT {_STREAM_MATCH} FROM matches")
+
 # ---------------------------------------------------------------- faulty rules, policies and parameters
 
 

@@ -17,6 +17,7 @@ from hostwarden.operators import normalize as nz, quality, rule_checks
 from hostwarden.operators.alerts import AlertPolicy, raise_alerts
 from hostwarden.operators.anchored import anchored_groups, candidate_counts
 from hostwarden.operators.correlate import (
+    REF_FIELDS,
     CorrelationRule,
     correlation_key,
     event_key,
@@ -69,6 +70,7 @@ from hostwarden.sources import checkpoints as cp, telemetry as tel
 from hostwarden.sources.tables import TableStore
 from hostwarden.sources.xml_events import read_event_xml
 from hostwarden.streaming.ingest import Ingestion
+from hostwarden.streaming.stateful import PROVIDER, correlate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SETTINGS = Settings(stamp=tel.commit_time)
@@ -1310,6 +1312,23 @@ def t03_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def t03b_stateful_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches from a stream of findings in three parts, with the look-back as state."""
+    inbox, found = scratch_path(spark, "findings"), scratch_path(spark, "found")
+    findings = findings_of(spark, sf_dir).select(*REF_FIELDS)
+    top = findings.agg(F.max("arrival_seq")).head()[0]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    for number in range(3):
+        findings.filter(F.expr(f"arrival_seq * 3 div {top + 1}") == number).write.mode("append").parquet(inbox)
+        stream = correlate_stream(spark.readStream.schema(findings.schema).parquet(inbox), BUILTIN_CORRELATION_RULES)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{found}-progress").outputMode("append")
+        writer.trigger(availableNow=True).start(found).awaitTermination()
+    groups = spark.read.schema(stream.schema).parquet(found)
+    matches = insert_new_matches(match_rows(groups, BUILTIN_CORRELATION_RULES, tel.commit_time))
+    return matches.select("correlation_key", "rule_id", "source_host", "first_event_time", "last_event_time")
+
+
 @query
 def t04_late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "late").table("correlation_matches").select(
