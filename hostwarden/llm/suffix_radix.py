@@ -37,8 +37,12 @@ NO_ID = 2**63 - 1
 GRAM_CHUNK, RUN_CHUNK, BUCKET_BYTES = 16 << 20, 8 << 20, 16 << 20
 #: Different runs of one gram that a chunk sends to the gram's bucket; of a gram with more, suffixes are dealt by their own bytes.
 RUNS_OF_GRAM = 4
+#: Of zstandard.
+LEVEL = 6
+#: Bytes of a gram's hash that travel in the first pass. Equal ones of different grams only let runs through that the second pass drops.
+GRAM_BYTES = 5
 #: Places hashed at once, suffixes ordered at once in a bucket, and runs copied at once.
-SEGMENT, ORDERED, COPIED = 1 << 20, 200_000, 50_000
+SEGMENT, ORDERED, COPIED = 1 << 18, 200_000, 50_000
 
 #: Whether Spark removes the shuffle files of a query when it ends; otherwise when the driver's garbage is collected.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -160,7 +164,7 @@ def _compressed(rows: DataFrame, text: str) -> DataFrame:
     schema = StructType([StructField(text, BinaryType()) if field.name == text else field for field in rows.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in small_batches(batches, place):
             packed = [None if value is None else packer.compress(value) for value in byte_lists(batch.column(place))]
             columns = [pa.array(packed, pa.binary()) if n == place else batch.column(n) for n in range(batch.num_columns)]
@@ -191,7 +195,7 @@ _GRAM_ROWS = "bucket INT, alive BOOLEAN, owners BINARY, salts BINARY, grams BINA
 
 def _gram_row(bucket: int, alive: bool, owner: np.ndarray, salt: np.ndarray, gram: np.ndarray) -> tuple:
     order = np.argsort(owner, kind="stable")
-    return bucket, alive, _planes(np.diff(owner[order], prepend=0)), _planes(salt[order], 1), _planes(gram[order], 6)
+    return bucket, alive, _planes(np.diff(owner[order], prepend=0)), _planes(salt[order], 1), _planes(gram[order], GRAM_BYTES)
 
 
 def _settled_grams(owner: np.ndarray, salt: np.ndarray, gram: np.ndarray, buckets: int) -> list[tuple]:
@@ -209,7 +213,7 @@ def _settled_grams(owner: np.ndarray, salt: np.ndarray, gram: np.ndarray, bucket
     rows = []
     for bucket, own in _by_bucket((gram[sent] % np.uint64(buckets)).astype(np.int64)):
         rows.append(_gram_row(bucket, False, owner[sent][own], salt[sent][own], gram[sent][own]))
-    for bucket, own in _by_bucket((_mixed((owner[shared] + salt[shared].astype(np.int64)).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+    for bucket, own in _by_bucket(_home(owner[shared], salt[shared], buckets)):
         rows.append(_gram_row(bucket, True, owner[shared][own], salt[shared][own], gram[shared][own]))
     return rows
 
@@ -227,8 +231,24 @@ def _salt(key: np.ndarray) -> np.ndarray:
     return key.view(np.uint64) & np.uint64(0xFF)
 
 
+def _home(owner: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document's own rows."""
+    return (_mixed((owner + salt.astype(np.int64)).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _grams(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Owners, salts and grams of packed rows, and whether they are known to be alive."""
+    owners, salts, grams, alive = [], [], [], []
+    for known, owner, salt, gram in zip(*[table.column(c).to_pylist() for c in ("alive", "owners", "salts", "grams")], strict=True):
+        owners.append(np.cumsum(_from_planes(owner, "<i8")))
+        salts.append(_from_planes(salt, "<i8", 1))
+        grams.append(_from_planes(gram, "<i8", GRAM_BYTES))
+        alive.append(np.full(len(owners[-1]), known))
+    return tuple(map(np.concatenate, (owners, salts, grams, alive)))
+
+
 def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """Grams that two documents have, by document: owner, salt, grams (packed, in several pieces)."""
+    """Grams that two documents have, by document: owner, salt, grams (packed)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -245,13 +265,7 @@ def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
             yield _batch(_settled_grams(*map(np.concatenate, zip(*kept, strict=True)), buckets), _GRAM_SCHEMA)
 
     def settle(table: pa.Table) -> pa.Table:
-        owners, salts, grams, alive = [], [], [], []
-        for known, owner, salt, gram in zip(*[table.column(c).to_pylist() for c in ("alive", "owners", "salts", "grams")], strict=True):
-            owners.append(np.cumsum(_from_planes(owner, "<i8")))
-            salts.append(_from_planes(salt, "<i8", 1))
-            grams.append(_from_planes(gram, "<i8", 6))
-            alive.append(np.full(len(owners[-1]), known))
-        owner, salt, gram, known = map(np.concatenate, (owners, salts, grams, alive))
+        owner, salt, gram, known = _grams(table)
         order = np.lexsort((owner, gram))
         order = order[~known[order]]
         begin = np.flatnonzero(_starts(gram[order]))
@@ -260,15 +274,21 @@ def _alive_grams(texts: DataFrame, depth: int, buckets: int) -> DataFrame:
             shared = np.repeat(owner[order][begin] != owner[order][begin + size - 1], size)
             known[order[shared]] = True
         owner, salt, gram = owner[known], salt[known], gram[known]
-        order = np.lexsort((salt, owner))
+        rows = [_gram_row(bucket, True, owner[own], salt[own], gram[own]) for bucket, own in _by_bucket(_home(owner, salt, buckets))]
+        return pa.Table.from_batches([_batch(rows, _GRAM_SCHEMA)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        owner, salt, gram, _ = _grams(table)
+        order = np.lexsort((gram, salt, owner))
+        order = order[_starts(owner[order], salt[order], gram[order])]
         owner, salt, gram = owner[order], salt[order], gram[order]
         edges = np.flatnonzero(_starts(owner, salt))
-        packed = [part.tobytes() for part in np.split(gram, edges[1:])] if len(edges) else []
+        packed = [_planes(part, GRAM_BYTES) for part in np.split(gram, edges[1:])] if len(edges) else []
         return pa.table({"owner": owner[edges], "salt": salt[edges], "grams": pa.array(packed, pa.binary())})
 
     rows = arrow_pass(texts.select("owner", "text_key", "text"), scan, _GRAM_ROWS)
-    found = rows.groupBy("bucket").applyInArrow(settle, "owner BIGINT, salt BIGINT, grams BINARY")
-    return found.groupBy("owner", "salt").agg(F.collect_list("grams").alias("grams"))
+    found = rows.groupBy("bucket").applyInArrow(settle, _GRAM_ROWS)
+    return found.groupBy("bucket").applyInArrow(gather, "owner BIGINT, salt BIGINT, grams BINARY")
 
 
 # Second pass: runs of those grams, equal as a whole or ordered suffix by suffix.
@@ -320,8 +340,13 @@ class _Entries:
         return _Entries(self.fields[rows], _stretches(self.blocks, self.begins[rows], self.sizes[rows]), self.depth)
 
     def packed(self, bucket: int) -> tuple:
+        """As a row, in order of the documents: alike neighbours compress."""
+        order = np.lexsort((self.fields["start"], self.fields["owner"]))
+        return self.take(order)._packed(bucket)
+
+    def _packed(self, bucket: int) -> tuple:
         planes = b"".join(_planes(self.fields[name], np.dtype(kind).itemsize) for name, kind in _ENTRY)
-        return bucket, _RUNS, None, None, planes, zstandard.ZstdCompressor(level=3).compress(self.blocks.tobytes())
+        return bucket, _RUNS, None, None, planes, zstandard.ZstdCompressor(level=LEVEL).compress(self.blocks.tobytes())
 
     @staticmethod
     def unpacked(rows: list[tuple[bytes, bytes]], depth: int) -> _Entries:
@@ -468,10 +493,11 @@ def repeated_spans(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in _slices(batches, 2):
             data, lengths = _joined(_texts(batch.column(2)))
             gram, text, start, count = _runs(data, lengths, depth)
-            known = [np.frombuffer(b"".join(pieces), dtype="<i8").astype(np.uint64) for pieces in batch.column(3).to_pylist()]
-            place = np.repeat(np.arange(len(known), dtype=np.uint64), [len(x) for x in known]) << np.uint64(48)
-            low = np.uint64((1 << 48) - 1)
-            wanted = (_mixed(gram) & low) | (text.astype(np.uint64) << np.uint64(48))
+            known = [_from_planes(own, "<u8", GRAM_BYTES) for own in batch.column(3).to_pylist()]
+            bits = np.uint64(8 * GRAM_BYTES)
+            place = np.repeat(np.arange(len(known), dtype=np.uint64), [len(x) for x in known]) << bits
+            low = (np.uint64(1) << bits) - np.uint64(1)
+            wanted = (_mixed(gram) & low) | (text.astype(np.uint64) << bits)
             left = np.isin(wanted, np.concatenate(known) | place if known else place)
             gram, text, start, count = gram[left], text[left], start[left], count[left]
             fields = np.zeros(len(gram), dtype=_ENTRY)
