@@ -2,8 +2,94 @@
 
 from __future__ import annotations
 
-from hostwarden.operators.correlation_rules import ENCODED_EXECUTION, REPEATED_ENCODED
-from hostwarden.operators.detection_rules import ENCODED_POWERSHELL, POWERSHELL_PROCESS
+from typing import NamedTuple
+
+
+class Rule(NamedTuple):
+    """What the SQL shows of a built-in rule."""
+
+    rule_id: str
+    name: str
+    severity: str
+    explanation: str
+    investigation_steps: tuple[str, ...]
+    tags: tuple[str, ...]
+
+
+# Ids and texts of the built-in rules.
+POWERSHELL_PROCESS = Rule(
+    "TP-WIN-SYSMON-0001",
+    "PowerShell Process Execution",
+    "low",
+    "PowerShell executed on the monitored host. PowerShell is a legitimate administrative tool, but attackers also use it for scripting, payload execution, and remote administration.",
+    (
+        "Review the full command line.",
+        "Identify the parent process.",
+        "Confirm the user expected to run PowerShell.",
+        "Check for related network or authentication activity.",
+    ),
+    (
+        "windows",
+        "sysmon",
+        "powershell",
+        "process_creation",
+    ),
+)
+ENCODED_POWERSHELL = Rule(
+    "TP-WIN-SYSMON-0002",
+    "Encoded PowerShell Command",
+    "medium",
+    "PowerShell started with an encoded-command option. Encoding can be legitimate, but it is frequently used to obscure the contents of scripts or commands from casual inspection.",
+    (
+        "Capture and decode the encoded command without executing it.",
+        "Review the parent process and initiating user.",
+        "Check whether the command contacted external systems.",
+        "Search for additional encoded PowerShell activity on the host.",
+    ),
+    (
+        "windows",
+        "sysmon",
+        "powershell",
+        "encoded_command",
+        "process_creation",
+    ),
+)
+ENCODED_EXECUTION = Rule(
+    "TP-CORR-WIN-0001",
+    "Encoded PowerShell Execution",
+    "medium",
+    "The same process-creation event matched both the general PowerShell execution rule and the encoded-command rule.",
+    (
+        "Decode the command without executing it.",
+        "Review the parent process and initiating user.",
+        "Determine whether the command belongs to approved software.",
+        "Search for related process and network activity.",
+    ),
+    (
+        "windows",
+        "powershell",
+        "encoded_command",
+        "same_event",
+    ),
+)
+REPEATED_ENCODED = Rule(
+    "TP-CORR-WIN-0002",
+    "Repeated Encoded PowerShell Activity",
+    "high",
+    "Multiple encoded PowerShell processes executed on the same host within a short period. Repetition increases the chance that the activity represents automation, persistence, or malicious command execution.",
+    (
+        "Compare the encoded command payloads.",
+        "Identify the user and parent process for each execution.",
+        "Review network connections around the event times.",
+        "Check whether a scheduled task or management tool initiated them.",
+    ),
+    (
+        "windows",
+        "powershell",
+        "encoded_command",
+        "repeated_activity",
+    ),
+)
 
 # ---------------------------------------------------------------- building blocks
 
