@@ -227,7 +227,11 @@ def contamination(
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:
-    """The documents that are not contaminated, all columns as they are."""
+    """The documents that are not contaminated, all columns as they are.
+
+    Null and empty texts have no hit and stay, a null doc_id stays null, repeated rows go or stay
+    together. Empty tables are taken: without documents nothing comes out, without items all.
+    """
     bad = written(contamination(documents, benchmark, **limits).filter("contaminated").select("k1", "k2").distinct(), "contaminated")
     rows = documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
     return rows.join(bad, ["k1", "k2"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -134,7 +134,9 @@ def assess(
 def clean(documents: DataFrame, **limits: float) -> DataFrame:
     """The kept documents without their frequent lines; all columns stay, a column ``n_chars`` follows the text.
 
-    Documents that lose no line keep their text as it is.
+    Documents that lose no line keep their text as it is. A null or empty text fails the base
+    rules and goes, a null source is a host of its own, a null doc_id stays null, repeated rows
+    stay repeated, texts count whole, and an empty table gives an empty one.
     """
 
     @F.pandas_udf("string")

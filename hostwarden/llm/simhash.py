@@ -195,6 +195,8 @@ def one_per_group(documents: DataFrame, shingle: int = SHINGLE, radius: int = RA
     """The documents without near-duplicates: of each component the one with the smallest doc_id.
 
     Of rows with equal id, the one with the least text hash stays, once. All columns stay.
+    Null and empty texts share the fingerprint zero and are one component. A component whose
+    ids are all null keeps one of its rows. An empty table gives an empty one.
     """
     found = near_duplicates(documents, shingle, radius)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")

@@ -262,7 +262,9 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated words removed; all columns stay, a column ``n_chars`` follows the text.
 
     A text that loses words is its kept words joined by one space, the others stay as
-    they are. A document that had words and lost all of them goes.
+    they are. A document that had words and lost all of them goes. Null and empty texts stay, a
+    null doc_id comes after all others, rows of one id never cut each other, and an empty table
+    gives an empty one.
     """
     profile, starts = repeated_places(documents, window)
     cut = written(_cut(documents, starts, window), "substring-cut")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from edge_documents import frame, make
 from hostwarden.llm import decontamination, simhash
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +30,18 @@ def test_every_stage_takes_effect(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == kept
     lengths = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in lengths)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Nulls, ties, repeated rows and clashing columns through all stages, then a table without rows."""
+    for rows in (make(), []):
+        docs = frame(spark, rows)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, FOLDER), name)
+            assert docs.columns == columns
+        pieces = corpus_pipeline.pack(spark, docs, FOLDER)
+        assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert (docs.count() > 0) == bool(rows)
+        # No text without words passes the first stage.
+        assert docs.filter("text IS NULL OR trim(text) = ''").count() == 0
