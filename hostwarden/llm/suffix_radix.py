@@ -38,7 +38,7 @@ GRAM_CHUNK, RUN_CHUNK, BUCKET_BYTES = 16 << 20, 8 << 20, 16 << 20
 #: Different runs of one gram that a chunk sends to the gram's bucket; of a gram with more, suffixes are dealt by their own bytes.
 RUNS_OF_GRAM = 4
 #: Of zstandard.
-LEVEL = 6
+LEVEL = 3
 #: Bytes of a gram's hash that travel in the first pass. Equal ones of different grams only let runs through that the second pass drops.
 GRAM_BYTES = 5
 #: Places hashed at once, suffixes ordered at once in a bucket, and runs copied at once.
