@@ -67,3 +67,8 @@ def test_no_pairwise_join(spark, name):
 def test_batch_limit_prunes_before_the_shuffle(spark):
     plan = plan_of(QUERIES["s03_next_batch"](spark, FOLDER))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_isolation_parses_documents_once(spark):
+    plan = plan_of(QUERIES["s12_channel_isolation"](spark, FOLDER))
+    assert "Generate" not in plan and "from_xml" not in plan and plan.count("FileScan") == 4
