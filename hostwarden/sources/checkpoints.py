@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from decimal import Decimal
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hostwarden.sources.registry import source_table
 
@@ -10,7 +13,8 @@ CHANNEL_KEY = ["source_type", "channel"]
 #: Record ids count on each host by themselves, so a store with several hosts needs all three.
 HOST_KEY = ["source_host", *CHANNEL_KEY]
 GROUP_LIMIT = 1000
-SALTS = 64
+#: Bins that the record ids of a channel are counted in at once.
+BINS = 1 << 16
 
 
 def load_checkpoints(raw: DataFrame) -> DataFrame:
@@ -77,8 +81,8 @@ def next_batch(events: DataFrame, batch_size: int = 100) -> DataFrame:
     have no record id to order by: they do not count and all stay.
 
     A channel may hold most of the table. Up to ``GROUP_LIMIT`` rows Spark prunes
-    each input partition before the shuffle by itself (``WindowGroupLimit``);
-    above it a salted first round does the same, so no task sees a whole channel.
+    each input partition before the shuffle by itself (``WindowGroupLimit``); above it
+    the last record id of each channel is found by counting, and no event is moved.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be greater than zero")
@@ -86,12 +90,60 @@ def next_batch(events: DataFrame, batch_size: int = 100) -> DataFrame:
         counted = next_batch(events.filter(~F.col("is_bad")).drop("is_bad"), batch_size)
         return counted.withColumn("is_bad", F.lit(False)).unionByName(events.filter("is_bad"))
     if batch_size > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
-        events = _lowest(events.withColumn("_salt", salt), [*CHANNEL_KEY, "_salt"], batch_size)
-        events = events.drop("_salt")
+        last = events.sparkSession.createDataFrame(_last_ids(events, batch_size), "_source STRING, _channel STRING, _last BIGINT")
+        return (
+            events.join(F.broadcast(last), _same_channel())
+            .filter(F.col("record_id").isNull() | (F.col("record_id") <= F.col("_last")))
+            .drop("_source", "_channel", "_last")
+        )
     return _lowest(events, CHANNEL_KEY, batch_size)
 
 
+def _same_channel() -> Column:
+    return F.col("source_type").eqNullSafe(F.col("_source")) & F.col("channel").eqNullSafe(F.col("_channel"))
+
+
+def _last_ids(events: DataFrame, count: int) -> list[tuple[str | None, str | None, int | None]]:
+    """Source, channel and the ``count``-th lowest record id, the highest where there are fewer: one row per channel.
+
+    Missing ids come first; where they fill the batch the last id is None. The ids between
+    the lowest and the highest are counted in ``BINS`` bins, then those of the bin that holds the
+    place looked for, until a bin is a single id: four rounds at most for any 64-bit numbers.
+    """
+    spark = events.sparkSession
+    rows = events.select(*CHANNEL_KEY, "record_id").persist(StorageLevel.MEMORY_AND_DISK)
+    found, searched = [], {}
+    ids = (F.count("*").alias("all"), F.count("record_id").alias("known"), F.min("record_id").alias("low"), F.max("record_id").alias("high"))
+    for row in rows.groupBy(*CHANNEL_KEY).agg(*ids).collect():
+        place = count - (row["all"] - row["known"])
+        if place <= 0 or place >= row["known"]:
+            found.append((row["source_type"], row["channel"], row["high"] if place > 0 else None))
+        else:
+            searched[row["source_type"], row["channel"]] = (row["low"], row["high"], place)
+    while searched:
+        widths = {key: -(-(high - low + 1) // BINS) for key, (low, high, _) in searched.items()}
+        bounds = spark.createDataFrame(
+            [(*key, low, high, place, Decimal(widths[key])) for key, (low, high, place) in searched.items()],
+            "_source STRING, _channel STRING, low BIGINT, high BIGINT, place BIGINT, width DECIMAL(20, 0)",
+        )
+        number = F.expr("(CAST(record_id AS DECIMAL(20, 0)) - CAST(low AS DECIMAL(20, 0))) div width").alias("bin")
+        inside = rows.join(F.broadcast(bounds), _same_channel()).filter("record_id BETWEEN low AND high")
+        counted = inside.groupBy("_source", "_channel", "place", number).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("_source", "_channel").orderBy("bin"))
+        holding = counted.withColumn("upto", upto).filter("upto >= place AND upto - n < place").collect()
+        for row in holding:
+            key = (row["_source"], row["_channel"])
+            low, high, place = searched.pop(key)
+            low += row["bin"] * widths[key]
+            high = min(high, low + widths[key] - 1)
+            if low == high:
+                found.append((*key, low))
+            else:
+                searched[key] = (low, high, place - (row["upto"] - row["n"]))
+    rows.unpersist()
+    return found
+
+
 def _lowest(events: DataFrame, key: list[str], count: int) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("record_id")
     return (

@@ -126,3 +126,21 @@ def test_row_checks(spark):
 def test_read_contract(spark):
     with pytest.raises(ValueError, match="finding_uuid"):
         quality.read_contract(spark.range(1).withColumn("finding_uuid", F.lit(1)), "detection_findings")
+
+
+def test_large_batch_limit_is_exact_and_moves_no_event(spark):
+    """Against a plain sort: equal and missing ids, several channels, ids at both ends of 64 bits."""
+    ends = [-(1 << 63), (1 << 63) - 1]
+    numbers = {"C": [*ends, *range(3000), *[700] * 500], "D": [None] * 1300 + [4, 5], "E": [*range(900)], None: [None, *range(1500, 0, -1)]}
+    rows = [("s", channel, n, i) for channel, all_ in numbers.items() for i, n in enumerate(all_)]
+    frame = spark.createDataFrame(rows, "source_type string, channel string, record_id bigint, arrival_seq bigint")
+    for size in (1001, 1203, 1299, 1302):
+        batch = cp.next_batch(frame, size)
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
+        for channel, all_ in numbers.items():
+            kept = sorted(all_, key=lambda n: (n is not None, n or 0))
+            last = kept[min(size, len(kept)) - 1]
+            expected = [n for n in kept if n is None or (last is not None and n <= last)]
+            found = [r.record_id for r in batch.filter(batch.channel.eqNullSafe(channel)).collect()]
+            assert sorted(found, key=lambda n: (n is not None, n or 0)) == expected, (size, channel)
