@@ -118,9 +118,14 @@ def normalized_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tel.normalized_events(events_of(spark, sf_dir))
 
 
+def in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as collectors send them. The table may be a single row group, and parsing is costly: all cores share it."""
+    return events_of(spark, sf_dir).repartitionByRange(spark.sparkContext.defaultParallelism, "ts", "event_id")
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event XML of every event. The table may be a single row group, and parsing is costly: all cores share it."""
-    return tel.event_documents(events_of(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+    """Event XML of every event."""
+    return tel.event_documents(in_time_order(spark, sf_dir))
 
 
 def damaged_documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +315,7 @@ def ingested(spark: SparkSession, sf_dir: str) -> TableStore:
         documents = damaged_documents_of(spark, sf_dir)
         ingestion.ingest(documents, 0)
         ingestion.ingest(documents, 1)
-        ingestion.store.write(tel.log_events(events_of(spark, sf_dir)), "log_events", 2)
+        ingestion.store.write(tel.log_events(in_time_order(spark, sf_dir)), "log_events", 2, by_day=True)
         _INGESTED[key] = root
     return TableStore(spark, _INGESTED[key])
 

@@ -21,6 +21,8 @@ COMMITS = "commits"
 FAILED_RUNS = "failed_runs"
 # Metric snapshots may be numbered and committed apart from the event batches.
 COMMITS_OF = {"host_metrics": "metric_commits"}
+# Texts of events repeat themselves; this halves what batches write.
+CODEC = "zstd"
 # Attempt of rows that are written without one.
 DIRECT = "direct"
 _PLACES = ("batch_id", "attempt", "event_date")
@@ -45,16 +47,20 @@ class TableStore:
         """A new attempt at a batch."""
         return Attempt(self, batch_id, uuid.uuid4().hex)
 
-    def write(self, rows: DataFrame, table: str, batch_id: int, mode: str = "overwrite", attempt: str = DIRECT) -> None:
+    def write(
+        self, rows: DataFrame, table: str, batch_id: int, mode: str = "overwrite", attempt: str = DIRECT, by_day: bool = False
+    ) -> None:
+        """Write an attempt's rows; ``by_day`` says that a task's rows are of few days, so that they need no shuffle."""
         target = f"{self.path(table)}/batch_id={batch_id}/attempt={attempt}"
         day = DAY_OF.get(table)
         if day is None:
-            rows.write.mode(mode).parquet(target)
+            rows.write.mode(mode).parquet(target, compression=CODEC)
             return
         # One day goes to few tasks, so that days do not shatter into tiny files; the
         # rebalance splits a day that is too big for one.
         dated = rows.withColumn("event_date", F.to_date(day))
-        dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(target)
+        placed = dated if by_day else dated.hint("rebalance", "event_date")
+        placed.write.mode(mode).partitionBy("event_date").parquet(target, compression=CODEC)
 
     def exists(self, table: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
@@ -142,8 +148,8 @@ class Attempt:
     def __init__(self, store: TableStore, batch_id: int, name: str) -> None:
         self.store, self.batch_id, self.name = store, batch_id, name
 
-    def write(self, rows: DataFrame, table: str) -> None:
-        self.store.write(rows, table, self.batch_id, attempt=self.name)
+    def write(self, rows: DataFrame, table: str, by_day: bool = False) -> None:
+        self.store.write(rows, table, self.batch_id, attempt=self.name, by_day=by_day)
 
     def read(self, table: str) -> DataFrame:
         rows = self.store._rows(table)
@@ -156,9 +162,19 @@ class Attempt:
         Unlike a cache they survive a lost executor, and a reader takes only the columns it needs.
         """
         path = f"{self._staged()}/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path, compression=CODEC)
         return self.store.spark.read.schema(rows.schema).parquet(path)
 
+    @staticmethod
+    def comes_by_day(staged: DataFrame, time: str) -> bool:
+        """Whether the staged files hold few days each, as events in order of time do.
+
+        Written as they are, the rows make a file for each pair of staged file and day.
+        """
+        pairs = staged.select(F.col("_metadata.file_path").alias("file"), F.to_date(time).alias("day")).distinct()
+        found = pairs.agg(F.count("*").alias("pairs"), F.countDistinct("file").alias("files"), F.countDistinct("day").alias("days")).head()
+        return found["pairs"] <= 2 * (found["files"] + found["days"])
+
     def clear(self) -> None:
         """Delete what was staged."""
         spark = self.store.spark

@@ -66,6 +66,11 @@ class Ingestion:
         return F.current_timestamp() if self.batch_time is None else F.lit(self.batch_time)
 
     def prepare(self, documents: DataFrame, batch_id: int) -> DataFrame:
+        """The parsed events of a batch, at most ``batch_size`` good ones of a channel."""
+        events = self._parsed(documents, batch_id)
+        return events if self.batch_size is None else next_batch(events, self.batch_size)
+
+    def _parsed(self, documents: DataFrame, batch_id: int) -> DataFrame:
         """Parsed events of the enabled channels, good and bad, with their host.
 
         Documents of registered channels that are not enabled are left out; those of a
@@ -81,14 +86,14 @@ class Ingestion:
         events = nz.normalize(known, self.hostname, self._now(), keep=True)
         events = events.withColumn("is_bad", F.col("is_bad") | unknown)
         events = events.withColumn("reason", F.when(unknown, "unknown_channel").otherwise(F.col("reason")))
-        events = self._with_host(events).withColumn("document_hash", _document_hash())
+        # Only rejects are known by a hash; with ``strict`` any document may become one.
+        known_by = _document_hash() if self.strict else F.when(F.col("is_bad"), _document_hash())
+        events = self._with_host(events).withColumn("document_hash", known_by)
         if not self.strict:
             # The texts of good documents need not travel on.
             events = events.withColumn("document", F.when(F.col("is_bad"), F.col("document")))
         if self.skip_processed:
             events = after_checkpoint(events, self.store.host_checkpoints(batch_id))
-        if self.batch_size is not None:
-            events = next_batch(events, self.batch_size)
         return events
 
     def _with_host(self, events: DataFrame) -> DataFrame:
@@ -117,7 +122,11 @@ class Ingestion:
 
     def _store(self, documents: DataFrame, attempt: Attempt) -> tuple[int, int]:
         """All tables of a batch of documents; how many were stored and how many rejected."""
-        events = attempt.stage(self.prepare(documents, attempt.batch_id), "events")
+        events = attempt.stage(self._parsed(documents, attempt.batch_id), "events")
+        if self.batch_size is not None:
+            # The limit looks for its last record ids first, so it reads parsed events, not documents.
+            events = attempt.stage(next_batch(events, self.batch_size), "limited")
+        by_day = attempt.comes_by_day(events, "time_created")
         rejects = nz.rejected(events, self.strict)
         if self.skip_processed and attempt.batch_id > 0:
             known = self.store.rejected(before=attempt.batch_id).select("document_hash")
@@ -125,15 +134,15 @@ class Ingestion:
         rejects = nz.with_arrival(rejects, attempt.batch_id * ARRIVALS_PER_BATCH)
         attempt.write(rejects.select(*columns_of(REJECTED_EVENTS)), REJECTED)
         good = nz.accepted(events, self.strict).drop("document", "reason", "document_hash")
-        inserted = self.store_events(good, attempt)
+        inserted = self.store_events(good, attempt, by_day)
         self.advance(good, attempt)
         return inserted, attempt.read(REJECTED).count()
 
-    def store_events(self, events: DataFrame, attempt: Attempt) -> int:
-        """Telemetry and intelligence tables of normalized events."""
+    def store_events(self, events: DataFrame, attempt: Attempt, by_day: bool = False) -> int:
+        """Telemetry and intelligence tables of normalized events; ``by_day`` as in ``TableStore.write``."""
         stamp = self.settings.stamp
-        attempt.write(nz.to_log_events(events, self.hostname, stamp), "log_events")
-        attempt.write(nz.to_process_events(events, stamp), "process_events")
+        attempt.write(nz.to_log_events(events, self.hostname, stamp), "log_events", by_day)
+        attempt.write(nz.to_process_events(events, stamp), "process_events", by_day)
         self.store_intelligence(events, attempt)
         return attempt.read("log_events").count()
 

@@ -6,8 +6,10 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from hostwarden.session import scratch_path
+from hostwarden.sources.tables import TableStore
 from hostwarden.sources.xml_events import stream_event_xml
 from hostwarden.streaming.ingest import Ingestion
 
@@ -205,3 +207,17 @@ def test_order_of_arrival_is_that_of_the_numbered_events(spark):
     rows = sorted((r.arrival_seq, r.event_record_id, r.rule_id) for r in ingestion.store.table("detection_findings").collect())
     assert [record for _, record, _ in rows] == [3, 3, 3, 3, 5, 7, 7]
     assert [number - (2 << 40) for number, *_ in rows] == [0, 0, 1, 1, 2, 3, 3]
+
+
+def test_rows_that_come_by_day_are_not_shuffled(spark):
+    """Files of few days each are written as they are, mixed ones by day; the rows are the same."""
+    store, spread = TableStore(spark, scratch_path(spark, "days")), {}
+    days = spark.range(400).select(F.timestamp_seconds(F.col("id") * 8640).alias("time_created"), "id")
+    for batch_id, rows in enumerate((days.repartitionByRange(8, "time_created"), days.repartition(8, "id"))):
+        attempt = store.attempt(batch_id)
+        staged = attempt.stage(rows, "events")
+        by_day = attempt.comes_by_day(staged, "time_created")
+        attempt.write(staged.select("time_created", F.col("id").alias("event_record_id")), "log_events", by_day)
+        written = store.read("log_events", only=batch_id)
+        spread[by_day] = (written.count(), len(written.inputFiles()))
+    assert spread.keys() == {True, False} and {n for n, _ in spread.values()} == {400} and spread[True][1] <= 2 * 48
