@@ -168,6 +168,32 @@ def test_tree_against_the_definition(spark):
     assert tree.end_score() == pytest.approx(end, rel=1e-9)
 
 
+def test_rare_contexts_are_exact(spark):
+    """Contexts below the share are in subtrees; words score as in the tree of all contexts."""
+    rng = random.Random(8)
+    counts = Counter("".join(rng.choice(["ka", "lo", "m", "ü", "\x00", "o"]) for _ in range(rng.randint(1, 5))).encode() for _ in range(300))
+    unseen = [b"kaka", b"xyz", "üüüü".encode(), b"q", b"lom" * 30, b"kalox", b"zlo"]
+    rows = [(bytearray(w), n, n, i * 1000) for i, (w, n) in enumerate(counts.items())]
+    rows += [(bytearray(w), 1, 0, 10**9 + i) for i, w in enumerate(unseen) if w not in counts]
+    table = spark.createDataFrame(rows, "word BINARY, freq BIGINT, counted BIGINT, place BIGINT")
+    for depth in (3, 6):
+        score, end = brute_tree(counts, 9, depth)
+        for contexts in (1 << 40, 300, 20, 2):
+            tree, subtrees = context_tree.fit(table, 9, depth, contexts)
+            found = {bytes(r["word"]): r["score"] for r in context_tree.score_words(table, tree, subtrees).collect()}
+            assert found == pytest.approx({bytes(r[0]): score(bytes(r[0])) for r in rows}, rel=1e-9)
+            assert tree.end_score() == pytest.approx(end, rel=1e-9)
+
+
+def test_score_does_not_depend_on_the_share(spark):
+    documents = frame(spark).withColumn("t", F.col("doc_id") % 3 > 0)
+    rows = [
+        sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in context_tree.score_texts(documents, "t", contexts=c).collect())
+        for c in (1 << 40, 40)
+    ]
+    assert rows[0] == rows[1]
+
+
 @pytest.mark.parametrize("contexts", [1 << 40, 30, 3])
 def test_probabilities_sum_to_one(spark, contexts):
     counts = Counter(w.encode() for w in ("kalo", "kalo", "kam", "lo", "molo", "a", "ab"))
