@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edge_documents import frame, lowered, make, plain_words
-from hostwarden.llm import chat_windows, context_tree
+from hostwarden.llm import chat_windows, context_tree, frequent_words
 
 KIND = "conv_id BIGINT, turn BIGINT, role STRING, text STRING, window STRING, a STRING, block INT"
 
@@ -236,3 +236,91 @@ def test_without_training_rows(spark):
     assert found[1]["score"] == pytest.approx(-32 * math.log10(2)) and found[2]["n_tokens"] == 1
     assert found[1]["n_known"] == 0 and found[1]["train_tokens"] == 0 and found[1]["base_score"] == 0
     assert context_tree.score_texts(rows.limit(0), "t").count() == 0
+
+
+def brute_stream(rows, depth):
+    """Log10 probability of each text by the recursive definition over its whole byte stream; None stands before a text."""
+    nodes = defaultdict(lambda: [0, 0])
+
+    def symbols(text):
+        words = (text or "").encode().lower().split()
+        data = (None, 32, *b"".join(w + b" " for w in words), 10)
+        return [(data[max(0, i - depth) : i], data[i]) for i in range(2, len(data))]
+
+    def decisions(byte):
+        return [((1 << bit) | byte >> (8 - bit), byte >> (7 - bit) & 1) for bit in range(8)]
+
+    for text, trains in rows:
+        for context, byte in symbols(text) if trains else ():
+            for d in range(len(context) + 1):
+                for prefix, bit in decisions(byte):
+                    nodes[context[len(context) - d :], prefix][bit] += 1
+    children = defaultdict(set)
+    for context, prefix in nodes:
+        if context:
+            children[context[1:], prefix].add(context)
+    memory = {}
+
+    def leaf(context):
+        return len(context) == depth or (context and context[0] is None)
+
+    def weights(context, prefix):
+        if (context, prefix) not in memory:
+            zeros, ones = nodes[context, prefix]
+            own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+            below = sum(weights(c, prefix)[1] for c in children[context, prefix])
+            memory[context, prefix] = (own, own if leaf(context) else np.logaddexp(own, below) - math.log(2), below)
+        return memory[context, prefix]
+
+    def one(context, prefix, d=0):
+        now = context[len(context) - d :]
+        if (now, prefix) not in nodes:
+            return 0.5
+        zeros, ones = nodes[now, prefix]
+        single = (ones + 0.5) / (zeros + ones + 1)
+        if leaf(now):
+            return single
+        own, _, below = weights(now, prefix)
+        stop = 1 / (1 + math.exp(min(700, below - own)))
+        return stop * single + (1 - stop) * one(context, prefix, d + 1)
+
+    def score(text):
+        ones = [(one(context, prefix), bit) for context, byte in symbols(text) for prefix, bit in decisions(byte)]
+        return sum(math.log10(p if bit else 1 - p) for p, bit in ones)
+
+    return [score(text) for text, _ in rows]
+
+
+@pytest.mark.parametrize(("depth", "contexts"), [(6, 1 << 17), (6, 40), (3, 5), (1, 2)])
+def test_documents_against_the_definition(spark, monkeypatch, depth, contexts):
+    """Contexts reach over the spaces, whatever is grown and however the work is cut."""
+    monkeypatch.setattr(context_tree, "_HELD", 300)
+    monkeypatch.setattr(context_tree, "BUCKET", 400)
+    monkeypatch.setattr(context_tree, "GROUP", 100)
+    monkeypatch.setattr(context_tree, "_GRAMS", 20)
+    monkeypatch.setattr(frequent_words, "FREQUENT_CODES", 60)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["ka", "lo", "Kalo", "m", "ü", "\x00", "o,"]) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    texts += [None, "", " \n\t", "kalo", "  kalo \n", texts[0], "lo ka", "ka lo", "unseen words", "ka ka ka ka ka ka"]
+    rows = [(number, text, number % 4 > 0) for number, text in enumerate(texts)]
+    found = context_tree.score_texts(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, t BOOLEAN"), "t", depth, contexts).collect()
+    expected = dict(enumerate(brute_stream([r[1:] for r in rows], depth)))
+    assert {r["doc_id"]: r["score"] for r in found} == pytest.approx(expected, rel=1e-9)
+
+
+def test_word_order_counts(spark):
+    """Texts of the same words: the order that training has is the likelier one."""
+    rows = [(i, "ka lo " * 5, True) for i in range(20)] + [(50, "ka lo ka lo", False), (51, "ka ka lo lo", False)]
+    found = {r["doc_id"]: r for r in context_tree.score_texts(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, t BOOLEAN"), "t").collect()}
+    assert found[50]["base_score"] == pytest.approx(found[51]["base_score"])
+    assert found[50]["score"] > found[51]["score"] + 1
+
+
+def test_grams_of_a_stream_that_is_cut(monkeypatch):
+    streams = [b"kalo m \n", b"\n", b"l \n", bytes(range(33, 90)) + b" \n"]
+    past = b"\n\n\n\n\n "
+    expected = [(k, int.from_bytes((past + s)[i : i + 7], "big")) for k, s in enumerate(streams) for i in range(len(s))]
+    for size in (1 << 22, 8, 5, 1):
+        monkeypatch.setattr(context_tree, "_CUT", size)
+        found = list(context_tree._grams(streams, 6))
+        assert [(k, c) for numbers, codes in found for k, c in zip(numbers.tolist(), codes.tolist(), strict=True)] == expected
