@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import database, differences
@@ -264,3 +265,14 @@ def test_whitening_keeps_null_keys_and_drops_other_lengths(spark):
     found = whitening.whiten(spark.createDataFrame([(i, v, "x", "n", "c") for i, v in rows], VECTORS)).collect()
     assert Counter(r["vec_id"] for r in found) == {None: 2, 1: 4, 2: 2}
     assert {r["n"] for r in found} == {3}
+
+
+def test_counted_phrases_keep_their_first_step():
+    """A phrase counts from the step after both of its parts were known, and is spelled from its prefix."""
+    reached = collocations._Reached([b"a", b"b", b"c", b"a b", b"b c"], [0, 1, 0, 2, 3], 5)
+    values = pa.array([b"\xff", b"a", b"b", b"c"], pa.binary())
+    ids = np.array([0, 1, 2, 3, 0, 1, 2, 0, 3, 1, 2, 3, 0])
+    found = {}
+    for phrases, length, first, times in collocations._counted(ids, values, reached, 4, 4, 5, False, True):
+        found |= {p: (length, f, n) for p, f, n in zip(phrases.to_pylist(), first.tolist(), times.tolist(), strict=True)}
+    assert found == {b"a b": (2, 2, 3), b"b c": (2, 2, 2), b"c a": (2, 1, 1), b"a b c": (3, 4, 2)}
